@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billgrid.functions import lexicon as lx
-from billgrid.functions.text import null_if_empty, strip_ws, text_or_empty
+from billgrid.functions.text import let, null_if_empty, strip_ws, text_or_empty
 
 _MONTH_NAME = (
     r"\b(?:(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{2,4})|([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{2,4}))\b"
@@ -18,8 +18,7 @@ _SHORT_SEPARATED = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b"
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or NULL when the parts name no day of the calendar."""
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
 def full_year(year: Column) -> Column:
@@ -31,46 +30,59 @@ def _month_first(year: Column, a: Column, b: Column) -> Column:
     return F.when(a > 12, safe_date(year, b, a)).otherwise(safe_date(year, a, b))
 
 
+def _ints(text: Column, pattern: str, groups=(1, 2, 3)) -> Column:
+    """Numbers captured by the first match of a pattern; NULLs without a match."""
+    return F.array(*[F.regexp_extract(text, pattern, i).try_cast("int") for i in groups])
+
+
 def _hit(raw: Column, day: Column) -> Column:
-    return F.when(
-        day.isNotNull(),
-        F.struct(raw.alias("raw"), F.date_format(day, "yyyy-MM-dd").alias("value")),
+    return let(
+        day.cast("string"),
+        lambda d: F.when(d.isNotNull(), F.struct(raw.alias("raw"), d.alias("value"))),
     )
 
 
 def parse_date(text: Column) -> Column:
     """First date of a text as ``struct<raw, value>`` with an ISO value, else NULL."""
-    text = strip_ws(text_or_empty(text))
+    months = F.create_map(*[F.lit(x) for kv in lx.MONTHS.items() for x in kv])
 
-    def named(i: int) -> Column:
-        return F.regexp_extract(text, _MONTH_NAME, i)
+    def named(t: Column) -> Column:
+        parts = F.array(*[F.regexp_extract(t, _MONTH_NAME, i) for i in range(7)])
 
-    months = F.create_map(*[F.lit(x) for kv in lx.MONTHS.items() for x in kv])
-    day_first = named(2) != ""
-    month = F.try_element_at(months, F.lower(F.when(day_first, named(2)).otherwise(named(4))))
-    day = F.when(day_first, named(1)).otherwise(named(5)).try_cast("int")
-    year = full_year(F.when(day_first, named(3)).otherwise(named(6)).try_cast("int"))
-    by_name = _hit(named(0), safe_date(year, month, day))
-
-    a, b, c = (F.regexp_extract(text, _SEPARATED, i).try_cast("int") for i in (1, 2, 3))
-    by_separator = _hit(
-        F.regexp_extract(text, _SEPARATED, 0),
-        F.when(a > 1900, safe_date(a, b, c))
-        .when(c > 1900, _month_first(c, a, b))
-        .when(c < 100, _month_first(full_year(c), a, b)),
-    )
+        def read(p: Column) -> Column:
+            pick = lambda i, j: F.when(p[2] != "", p[i]).otherwise(p[j])
+            month = F.try_element_at(months, F.lower(pick(2, 4)))
+            year = let(pick(3, 6).try_cast("int"), full_year)
+            return _hit(p[0], safe_date(year, month, pick(1, 5).try_cast("int")))
 
-    run = F.regexp_extract(text, _COMPACT, 1)
+        return F.when(t.rlike(_MONTH_NAME), let(parts, read))
 
-    def part(start: int, length: int) -> Column:
-        return F.substring(run, start, length).try_cast("int")
+    def separated(t: Column) -> Column:
+        def read(p: Column) -> Column:
+            a, b, c = p[0], p[1], p[2]
+            return (
+                F.when(a > 1900, safe_date(a, b, c)).when(c > 1900, _month_first(c, a, b))
+                .when(c < 100, _month_first(full_year(c), a, b))
+            )
 
-    compact = (
-        F.when(run.rlike("^(?:19|20)[0-9]{6}$"), safe_date(part(1, 4), part(5, 2), part(7, 2)))
-        .when(F.length(run) == 8, _month_first(part(5, 4), part(1, 2), part(3, 2)))
-        .when(F.length(run) == 6, _month_first(full_year(part(5, 2)), part(1, 2), part(3, 2)))
-    )
-    return F.coalesce(by_name, by_separator, _hit(run, compact))
+        return F.when(t.rlike(_SEPARATED), _hit(F.regexp_extract(t, _SEPARATED, 0), let(_ints(t, _SEPARATED), read)))
+
+    def compact(t: Column) -> Column:
+        def read(run: Column) -> Column:
+            part = lambda start, length: F.substring(run, start, length).try_cast("int")
+            day = (
+                F.when(run.rlike("^(?:19|20)[0-9]{6}$"), safe_date(part(1, 4), part(5, 2), part(7, 2)))
+                .when(F.length(run) == 8, _month_first(part(5, 4), part(1, 2), part(3, 2)))
+                .otherwise(_month_first(full_year(part(5, 2)), part(1, 2), part(3, 2)))
+            )
+            return _hit(run, day)
+
+        return F.when(t.rlike(_COMPACT), let(F.regexp_extract(t, _COMPACT, 1), read))
+
+    def read(t: Column) -> Column:
+        return F.when(t.rlike(r"\d"), F.coalesce(named(t), separated(t), compact(t)))
+
+    return let(strip_ws(text_or_empty(text)), read)
 
 
 def _both_readings(year: Column, first: Column, second: Column) -> Column:
@@ -81,35 +93,32 @@ def _both_readings(year: Column, first: Column, second: Column) -> Column:
 
 def possible_dates(raw: Column) -> Column:
     """Every valid reading of a numeric date, day-first before month-first."""
-    raw = text_or_empty(raw)
-    digits = F.regexp_replace(raw, r"\D", "")
-    n = F.length(digits)
-
-    def part(start: int, length: int) -> Column:
-        return F.substring(digits, start, length).try_cast("int")
-
-    year = F.when(n == 6, full_year(part(5, 2))).otherwise(part(5, 4))
-    s1, s2, s3 = (F.regexp_extract(raw, _SHORT_SEPARATED, i).try_cast("int") for i in (1, 2, 3))
-    return (
-        F.when(
-            (n == 8) & digits.rlike("^(?:19|20)"),
-            F.array_compact(F.array(safe_date(part(1, 4), part(5, 2), part(7, 2)))),
+
+    def of_digits(digits: Column) -> Column:
+        part = lambda start, length: F.substring(digits, start, length).try_cast("int")
+        return (
+            F.when(
+                digits.rlike("^(?:19|20)[0-9]{6}$"),
+                F.array_compact(F.array(safe_date(part(1, 4), part(5, 2), part(7, 2)))),
+            )
+            .when(F.length(digits) == 8, _both_readings(part(5, 4), part(1, 2), part(3, 2)))
+            .when(F.length(digits) == 6, _both_readings(full_year(part(5, 2)), part(1, 2), part(3, 2)))
         )
-        .when(n.isin(6, 8), _both_readings(year, part(1, 2), part(3, 2)))
-        .otherwise(_both_readings(full_year(s3), s1, s2))
+
+    short = let(
+        _ints(text_or_empty(raw), _SHORT_SEPARATED), lambda p: _both_readings(full_year(p[2]), p[0], p[1])
     )
+    return F.coalesce(let(F.regexp_replace(text_or_empty(raw), r"\D", ""), of_digits), short)
 
 
 def date_or_null(c: Column) -> Column:
     """Date of the first ten characters, NULL when they are not ISO."""
-    head = F.left(strip_ws(text_or_empty(c)), F.lit(10))
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
+    return F.try_to_date(F.regexp_extract(text_or_empty(c), r"(?U)^\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
 
 
 def normalize_date(c: Column) -> Column:
     """ISO text of the date, the original text when it is none, NULL when blank."""
-    text = strip_ws(text_or_empty(c))
-    return F.coalesce(F.date_format(date_or_null(text), "yyyy-MM-dd"), null_if_empty(text))
+    return F.coalesce(date_or_null(c).cast("string"), F.nullif(strip_ws(text_or_empty(c)), F.lit("")))
 
 
 def date_candidates(value: Column, raw: Column) -> Column:
@@ -117,22 +126,18 @@ def date_candidates(value: Column, raw: Column) -> Column:
 
     Readings that are no calendar day stay in the set as text, as the value itself does.
     """
-    digits = F.regexp_replace(text_or_empty(raw), r"\D", "")
-    n = F.length(digits)
-    year = F.when(n == 8, F.substring(digits, 5, 4)).otherwise(
-        F.concat(F.lit("20"), F.substring(digits, 5, 2))
-    )
-    first, second = F.substring(digits, 1, 2), F.substring(digits, 3, 2)
-    numeric = n.isin(6, 8)
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                normalize_date(value),
-                F.when(numeric, F.concat_ws("-", year, second, first)),
-                F.when(numeric, F.concat_ws("-", year, first, second)),
-            )
+
+    def readings(digits: Column) -> Column:
+        year = F.when(F.length(digits) == 8, F.substring(digits, 5, 4)).otherwise(
+            F.concat(F.lit("20"), F.substring(digits, 5, 2))
         )
-    )
+        first, second = F.substring(digits, 1, 2), F.substring(digits, 3, 2)
+        return F.when(
+            F.length(digits).isin(6, 8), F.array(F.concat_ws("-", year, second, first), F.concat_ws("-", year, first, second))
+        ).otherwise(F.expr("cast(array() as array<string>)"))
+
+    numeric = let(F.regexp_replace(text_or_empty(raw), r"\D", ""), readings)
+    return F.array_distinct(F.array_compact(F.concat(F.array(normalize_date(value)), numeric)))
 
 
 def rfc3339(c: Column) -> Column:

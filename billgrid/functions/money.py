@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billgrid.functions import lexicon as lx
-from billgrid.functions.text import strip_chars, strip_ws, text_or_empty
+from billgrid.functions.text import let, strip_chars, strip_ws, text_or_empty
 
 MONEY = "decimal(12,2)"
 
@@ -23,42 +23,39 @@ def money_decimal(c: Column) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """Number text to double: parentheses or minus negate, either separator may be decimal."""
-    text = strip_ws(text_or_empty(raw))
-    in_parens = text.rlike(r"^\(.*\)$")
-    v = F.translate(strip_chars(text, "()"), "'’ +", "")
-    negative = in_parens | v.startswith("-")
-    v = F.regexp_replace(v, "^-", "")
-    has_comma, has_dot = v.contains(","), v.contains(".")
-    comma_decimal = F.translate(F.regexp_replace(v, r"\.", ""), ",", ".")
-    no_commas = F.regexp_replace(v, ",", "")
-    short_tail = v.rlike(r"[.,][^.,]{1,2}$")
-    # every separator but the last one groups thousands
-    last_is_decimal = F.translate(F.regexp_replace(v, r"[.,](?=.*[.,])", ""), ",", ".")
-    number = (
-        F.when(has_comma & has_dot, F.when(v.rlike(r",[^.]*$"), comma_decimal).otherwise(no_commas))
-        .when(has_comma, F.when(short_tail, last_is_decimal).otherwise(no_commas))
-        .when(
-            v.rlike(r"\..*\."),
-            F.when(short_tail, last_is_decimal).otherwise(F.regexp_replace(v, r"\.", "")),
+
+    def plain(v: Column) -> Column:
+        """Digits with a decimal point, from digits with any separators."""
+        short_tail = v.rlike(r"[.,][^.,]{1,2}$")
+        # every separator but the last one groups thousands
+        last_is_decimal = F.translate(F.regexp_replace(v, r"[.,](?=.*[.,])", ""), ",", ".")
+        return (
+            F.when(~v.rlike(r"\d"), None)
+            .when(~v.contains(","), F.when(v.rlike(r"\..*\."), F.when(short_tail, last_is_decimal).otherwise(F.translate(v, ".", ""))).otherwise(v))
+            .when(v.rlike(r"\..*,[^.]*$"), F.translate(F.translate(v, ".", ""), ",", "."))
+            .when(v.contains(".") | ~short_tail, F.translate(v, ",", ""))
+            .otherwise(last_is_decimal)
         )
-        .otherwise(v)
-    )
-    amount = F.when(number.rlike(r"\d"), number.try_cast("double"))
-    return F.when(negative, -amount).otherwise(amount)
+
+    def signed(text: Column) -> Column:
+        bare = F.translate(strip_chars(text, "()"), "'’ +", "")
+        size = let(F.regexp_replace(bare, "^-", ""), plain).try_cast("double")
+        return F.when(text.rlike(r"^\(.*\)$") | text.rlike(r"^[(]*[ +'’]*-"), -size).otherwise(size)
+
+    return let(strip_ws(text_or_empty(raw)), signed)
 
 
 def normalize_currency(raw: Column) -> Column:
     """ISO code of a code, alias or symbol; the bare yen glyph stays unknown."""
-    value = strip_ws(text_or_empty(raw))
-    upper = F.regexp_replace(F.upper(value), r"\.+$", "")
-    out = (
-        F.when(upper.isin(*lx.CURRENCY_CODES), upper)
-        .when(upper == "RMB", F.lit("CNY"))
-        .when((value == "¥") | (upper == "Y"), F.lit(None))
+    exact = F.create_map(*[F.lit(x) for kv in lx.CURRENCY_SYMBOLS.items() for x in kv])
+    codes = {**{c: c for c in lx.CURRENCY_CODES}, "RMB": "CNY", "RS": "INR"}
+    upper = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return let(
+        strip_ws(text_or_empty(raw)),
+        lambda v: F.coalesce(
+            F.try_element_at(upper, F.regexp_replace(F.upper(v), r"\.+$", "")), F.try_element_at(exact, v)
+        ),
     )
-    for symbol, code in lx.CURRENCY_SYMBOLS.items():
-        out = out.when(value == symbol, F.lit(code))
-    return out.when(upper == "RS", F.lit("INR"))
 
 
 def _plausible_without_currency(number: Column) -> Column:

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from billgrid.functions import lexicon as lx
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it.
+
+    Expressions are trees: a sub-expression named ten times is ten copies in the plan and ten
+    evaluations inside a lambda. Binding it keeps both linear.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), 0)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -30,7 +39,7 @@ def squeeze(c: Column) -> Column:
 
 
 def null_if_empty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def is_one_of(c: Column, values) -> Column:
@@ -124,11 +133,9 @@ def extract_vendor_ids(raw: Column) -> Column:
 def extract_bank_account(raw: Column) -> Column:
     """An already masked account, else the last four digits after an account word."""
     raw = text_or_empty(raw)
-    masked = F.regexp_extract(raw, r"(\*{2,}\s*\d{2,})", 1)
-    named = F.regexp_extract(raw, r"(?i)(?:account|acct|ending)\D{0,12}(\d{4,})", 1)
-    return F.when(masked != "", F.trim(squeeze(masked))).when(
-        named != "", F.concat(F.lit("**** "), F.right(named, F.lit(4)))
-    )
+    masked = null_if_empty(F.trim(squeeze(F.regexp_extract(raw, r"(\*{2,}\s*\d{2,})", 1))))
+    named = null_if_empty(F.regexp_extract(raw, r"(?i)(?:account|acct|ending)\D{0,12}\d*(\d{4})", 1))
+    return F.coalesce(masked, F.concat(F.lit("**** "), named))
 
 
 def extract_email(raw: Column) -> Column:
@@ -139,10 +146,8 @@ def extract_email(raw: Column) -> Column:
 
 def mask_account(c: Column) -> Column:
     text = strip_ws(text_or_empty(c))
-    digits = F.regexp_replace(text, r"\D", "")
-    return F.when(
-        digits != "", F.concat(F.lit("**** "), F.right(digits, F.lit(4)))
-    ).otherwise(null_if_empty(F.upper(text)))
+    last = null_if_empty(F.right(F.regexp_replace(text, r"\D", ""), F.lit(4)))
+    return F.coalesce(F.concat(F.lit("**** "), last), null_if_empty(F.upper(text)))
 
 
 def _filled_lines(c: Column) -> Column:
@@ -162,19 +167,13 @@ def identifier_value(raw: Column) -> Column:
     """One printable token holding a digit, with a known prefix joined to it; else NULL."""
     v = F.regexp_replace(strip_ws(text_or_empty(raw)), r"\s*([#./:_-])\s*", "$1")
     v = F.regexp_replace(v, r"(?i)\b(BILL|DOC|FY|INV|INVOICE|JOB|PO)\s+(?=\d)", "$1-")
-    v = strip_ws(squeeze(v))
-    parts = F.split(v, " ")
-    joined = F.when(
-        (F.size(parts) == 2) & is_one_of(canonical(F.get(parts, 0)), lx.IDENTIFIER_PREFIXES),
-        F.regexp_replace(v, " ", "-"),
-    ).otherwise(v)
-    token = strip_chars(joined, ".:/_-")
-    return F.when(
-        ~joined.contains(" ")
-        & token.rlike(r"^[#A-Za-z0-9][#A-Za-z0-9./:_-]*$")
-        & token.rlike(r"\d"),
-        F.left(token, F.lit(300)),
+    prefixes = "|".join(lx.IDENTIFIER_PREFIXES)
+    # a known prefix (whatever punctuation surrounds it) followed by one more word
+    v = F.regexp_replace(
+        strip_ws(squeeze(v)), rf"(?i)^([^a-z0-9 ]*(?:{prefixes})[^a-z0-9 ]*) ([^ ]+)$", "$1-$2"
     )
+    token = F.regexp_extract(v, r"^[.:/_-]*([#A-Za-z0-9][#A-Za-z0-9./:_-]*?)[.:/_-]*$", 1)
+    return let(token, lambda t: F.when(t.rlike(r"\d"), F.left(t, F.lit(300))))
 
 
 def clean_raw(c: Column) -> Column:
@@ -253,11 +252,10 @@ def looks_like_year(c: Column) -> Column:
 
 
 def quantity_token(c: Column) -> Column:
-    token = F.regexp_replace(strip_ws(text_or_empty(c)), ",", "")
-    value = token.try_cast("double")
-    return F.when(
-        token.rlike(r"^\d+(?:\.\d+)?$") & ~looks_like_year(token) & (value > 0) & (value <= 10000),
-        value,
+    token = F.regexp_extract(F.regexp_replace(strip_ws(text_or_empty(c)), ",", ""), r"^(\d+(?:\.\d+)?)$", 1)
+    return let(
+        F.when(~token.rlike("^(?:19|20)[0-9]{2}$"), token).try_cast("double"),
+        lambda value: F.when((value > 0) & (value <= 10000), value),
     )
 
 
@@ -267,12 +265,9 @@ def quantity_from_text(c: Column) -> Column:
 
 
 def is_currency_word(c: Column) -> Column:
-    value = strip_ws(text_or_empty(c))
-    upper = F.regexp_replace(F.upper(value), r"\.+$", "")
-    return (value != "") & (
-        is_one_of(upper, (*lx.CURRENCY_CODES, "RMB"))
-        | is_one_of(value, (*lx.CURRENCY_SYMBOLS, "¥", "Y"))
-    )
+    codes = "|".join((*lx.CURRENCY_CODES, "RMB"))
+    symbols = "|".join(re.escape(x) for x in (*lx.CURRENCY_SYMBOLS, "¥", "Y"))
+    return text_or_empty(c).rlike(rf"^\s*(?:(?i:{codes})\.*|{symbols})\s*$")
 
 
 def is_number_word(c: Column) -> Column:
@@ -281,13 +276,10 @@ def is_number_word(c: Column) -> Column:
 
 def clean_description(c: Column) -> Column:
     """Squeeze blanks, trim punctuation, drop trailing currency words."""
+    codes = "|".join((*lx.CURRENCY_CODES, "RMB"))
+    symbols = "|".join(re.escape(x) for x in (*lx.CURRENCY_SYMBOLS, "¥", "Y"))
     text = strip_chars(squeeze(text_or_empty(c)), " :-")
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    # position of the last word that is not a currency word
-    keep = F.array_max(
-        F.transform(words, lambda w, i: F.when(~is_currency_word(w), i + 1).otherwise(0))
-    )
-    kept = F.array_join(F.slice(words, F.lit(1), F.coalesce(keep, F.lit(0))), " ")
+    kept = F.regexp_replace(text, rf"(?:(?:^| )(?:(?i:{codes})\.*|{symbols}))+$", "")
     return strip_chars(kept, " :-")
 
 
@@ -343,31 +335,30 @@ SEPARATOR_CLASS = r"[\s._:#-]*"
 
 def filename_pattern(filename: Column) -> Column:
     """Regex that generalizes one file name: letters stay, digits and separators widen."""
-    sample = strip_ws(F.regexp_extract(F.translate(strip_ws(text_or_empty(filename)), "\\", "/"), r"([^/]*)$", 1))
-    has_ext = sample.rlike(r"^.+\.[^.]*$")
-    stem = F.when(has_ext, F.regexp_extract(sample, r"^(.+)\.[^.]*$", 1)).otherwise(sample)
-    ext = F.when(has_ext, F.regexp_extract(sample, r"\.([^.]*)$", 1)).otherwise(F.lit(""))
-    tokens = F.regexp_extract_all(stem, F.lit(r"([A-Za-z]+|\d+|[^A-Za-z\d]+)"), F.lit(1))
-    mapped = F.transform(
-        tokens,
-        lambda t: F.when(t.rlike("^[A-Za-z]"), t)
-        .when(t.rlike(r"^\d"), F.lit(r"\d+"))
-        .otherwise(F.lit(SEPARATOR_CLASS)),
-    )
-    # separators at either end carry no information
-    first = F.array_position(F.transform(mapped, lambda p: p != SEPARATOR_CLASS), True)
-    last = F.size(mapped) - F.array_position(
-        F.transform(F.reverse(mapped), lambda p: p != SEPARATOR_CLASS), True
-    )
-    body = F.when(
-        first > 0, F.array_join(F.slice(mapped, first.cast("int"), (last - first + 2).cast("int")), "")
-    ).otherwise(_regex_escape(stem))
-    suffix = (
-        F.when(ext == "", F.lit(""))
-        .when(F.lower(ext) == "pdf", F.concat(F.lit(r"(?:\."), ext, F.lit(")?")))
-        .otherwise(F.concat(F.lit(r"\."), _regex_escape(ext)))
-    )
-    return F.when(sample != "", F.concat(F.lit("^"), body, suffix, F.lit("$")))
+
+    def widen(stem: Column) -> Column:
+        # separators at either end carry no information
+        core = F.regexp_replace(stem, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+        tokens = F.regexp_extract_all(core, F.lit(r"([A-Za-z]+|\d+|[^A-Za-z\d]+)"), F.lit(1))
+        parts = F.transform(
+            tokens,
+            lambda t: F.when(t.rlike("^[A-Za-z]"), t).when(t.rlike(r"^\d"), F.lit(r"\d+")).otherwise(F.lit(SEPARATOR_CLASS)),
+        )
+        return F.when(core != "", F.array_join(parts, "")).otherwise(_regex_escape(stem))
+
+    def shape(sample: Column) -> Column:
+        ext = F.regexp_extract(sample, r"^.+\.([^.]*)$", 1)
+        stem = F.when(sample.rlike(r"^.+\.[^.]*$"), F.regexp_extract(sample, r"^(.+)\.[^.]*$", 1)).otherwise(sample)
+        suffix = let(
+            ext,
+            lambda e: F.when(e == "", F.lit(""))
+            .when(F.lower(e) == "pdf", F.concat(F.lit(r"(?:\."), e, F.lit(")?")))
+            .otherwise(F.concat(F.lit(r"\."), _regex_escape(e))),
+        )
+        return F.when(sample != "", F.concat(F.lit("^"), let(stem, widen), suffix, F.lit("$")))
+
+    last = F.regexp_extract(F.translate(strip_ws(text_or_empty(filename)), "\\", "/"), r"([^/]*)$", 1)
+    return let(strip_ws(last), shape)
 
 
 def _regex_escape(c: Column) -> Column:
