@@ -9,6 +9,18 @@ from pyspark.sql.window import Window
 from billgrid.functions.text import squeeze, text_or_empty
 from billgrid.schemas import ALTERNATIVE
 
+def stage(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters on derived columns are normally pushed below the projection that derives them,
+    which copies long expressions into the filter, once per reference and per step. A
+    generator is where that stops, so each staged value is computed once.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    made = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*keep, F.explode(F.array(made)).alias("_staged")).select(*keep, "_staged.*")
+
+
 #: columns of a candidate; ``seq`` is its place in reading order
 RECORD = ("raw", "value", "amount", "currency", "page", "bbox", "label", "confidence", "method", "ambiguity_reasons")
 

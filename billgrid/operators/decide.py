@@ -45,24 +45,56 @@ def _choose(*cases, otherwise) -> Column:
 # --- invoice and context values --------------------------------------------------------
 
 
+def invoice_values() -> dict[str, Column]:
+    """Values several checks compare, computed once per row by :func:`with_checks`."""
+    none = F.expr("cast(array() as array<string>)")
+    cp, ci, cb = F.col("context.purchase_order"), F.col("context.invoice"), F.col("context.buyer")
+    own = F.transform(F.map_values("amounts"), lambda a: F.upper(F.trim(a["currency"])))
+    items = F.transform(F.coalesce("item_currencies", none), lambda c: F.upper(F.trim(c)))
+    blank = tx.null_if_empty
+
+    def wanted_day(key: str) -> Column:
+        return normalize_date(F.col(f"context.invoice.{key}"))
+
+    def day_readings(key: str) -> Column:
+        return date_candidates(F.col(f"{key}.value"), F.coalesce(blank(F.col(f"{key}.raw")), F.col(f"{key}.evidence.raw")))
+
+    return {
+        "_number": F.coalesce(blank(F.col("invoice_number.normalized")), tx.normalize_invoice_number(F.col("invoice_number.value"))),
+        "_vendor": F.coalesce(blank(F.col("vendor.normalized_name")), tx.normalize_vendor_name(F.col("vendor.name"))),
+        "_buyer": F.coalesce(blank(F.col("buyer.normalized_name")), tx.normalize_vendor_name(F.col("buyer.name"))),
+        "_po": F.coalesce(blank(F.col("purchase_order.normalized")), tx.normalize_purchase_order(F.col("purchase_order.value"))),
+        "_amount": F.col("amount_due.amount").cast(DEC),
+        "_currency": F.upper(F.trim(F.coalesce(blank(F.col("currency.value")), F.col("amount_due.currency"), F.lit("")))),
+        "_currencies": F.array_sort(F.array_distinct(F.filter(F.concat(own, items), lambda c: c.isNotNull() & (c != "")))),
+        "_want_number": tx.normalize_invoice_number(F.coalesce(blank(ci["normalized_invoice_number"]), ci["invoice_number"])),
+        "_want_buyer": F.coalesce(blank(cb["normalized_name"]), tx.normalize_vendor_name(cb["name"])),
+        "_want_po": F.coalesce(blank(cp["normalized"]), tx.normalize_purchase_order(cp["po_number"])),
+        "_want_issue": wanted_day("issue_date"), "_want_due": wanted_day("due_date"),
+        "_issue_days": day_readings("issue_date"), "_due_days": day_readings("due_date"),
+        "_account": F.coalesce(tx.mask_account(F.col("bank_details.bank_account")), tx.mask_account(F.col("context.invoice_payment.bank_account"))),
+        "_want_account": tx.mask_account(F.col("context.approved_bank_account")),
+    }
+
+
 def invoice_number() -> Column:
-    return F.coalesce(tx.null_if_empty(F.col("invoice_number.normalized")), tx.normalize_invoice_number(F.col("invoice_number.value")))
+    return F.col("_number")
 
 
 def invoice_vendor() -> Column:
-    return F.coalesce(tx.null_if_empty(F.col("vendor.normalized_name")), tx.normalize_vendor_name(F.col("vendor.name")))
+    return F.col("_vendor")
 
 
 def invoice_buyer() -> Column:
-    return F.coalesce(tx.null_if_empty(F.col("buyer.normalized_name")), tx.normalize_vendor_name(F.col("buyer.name")))
+    return F.col("_buyer")
 
 
 def invoice_po() -> Column:
-    return F.coalesce(tx.null_if_empty(F.col("purchase_order.normalized")), tx.normalize_purchase_order(F.col("purchase_order.value")))
+    return F.col("_po")
 
 
 def invoice_amount() -> Column:
-    return F.col("amount_due.amount").cast(DEC)
+    return F.col("_amount")
 
 
 def _amount(key: str) -> Column:
@@ -70,13 +102,11 @@ def _amount(key: str) -> Column:
 
 
 def invoice_currency() -> Column:
-    return F.upper(F.trim(F.coalesce(tx.null_if_empty(F.col("currency.value")), F.col("amount_due.currency"), F.lit(""))))
+    return F.col("_currency")
 
 
 def money_currencies() -> Column:
-    own = F.transform(F.map_values("amounts"), lambda a: F.upper(F.trim(a["currency"])))
-    items = F.transform("item_currencies", lambda c: F.upper(F.trim(c)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(own, items), lambda c: c.isNotNull() & (c != ""))))
+    return F.col("_currencies")
 
 
 # --- D1..D17 ---------------------------------------------------------------------------
@@ -146,8 +176,7 @@ def _vendor_facts(df: DataFrame) -> DataFrame:
     )))
     clean = lambda ids, fn: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(ids, none), lambda v: fn(v)), lambda v: v != "")))
     df = (
-        df.withColumn("_vendor", invoice_vendor())
-        .withColumn("_approved", approved)
+        df.withColumn("_approved", approved)
         .withColumn("_aliases", aliases)
         .withColumn("_tax", tx.normalize_tax_identifier(cv["tax_id"]))
         .withColumn("_vid", tx.normalize_identifier(cv["vendor_id"]))
@@ -212,8 +241,7 @@ def d_vendor() -> Column:
 
 
 def d_buyer() -> Column:
-    cb = F.col("context.buyer")
-    want = F.coalesce(tx.null_if_empty(cb["normalized_name"]), tx.normalize_vendor_name(cb["name"]))
+    cb, want = F.col("context.buyer"), F.col("_want_buyer")
     same = invoice_buyer() == want
     return _check(
         "buyer_match", F.when(want == "", "not_applicable").when(same, "pass").otherwise("fail"),
@@ -259,8 +287,7 @@ def d_duplicate() -> Column:
 
 
 def d_number() -> Column:
-    ci = F.col("context.invoice")
-    want = tx.normalize_invoice_number(F.coalesce(tx.null_if_empty(ci["normalized_invoice_number"]), ci["invoice_number"]))
+    want = F.col("_want_number")
     same = invoice_number() == want
     return _check(
         "invoice_number_match", F.when(want == "", "not_applicable").when(same, "pass").otherwise("fail"),
@@ -273,13 +300,9 @@ def d_number() -> Column:
 
 
 def d_dates() -> Column:
-    def off(key: str) -> tuple[Column, Column]:
-        want = normalize_date(F.col(f"context.invoice.{key}"))
-        raw = F.coalesce(tx.null_if_empty(F.col(f"{key}.raw")), F.col(f"{key}.evidence.raw"))
-        return want, want.isNotNull() & ~F.array_contains(date_candidates(F.col(f"{key}.value"), raw), want)
-
-    wi, off_i = off("issue_date")
-    wd, off_d = off("due_date")
+    wi, wd = F.col("_want_issue"), F.col("_want_due")
+    off_i = wi.isNotNull() & ~F.array_contains("_issue_days", wi)
+    off_d = wd.isNotNull() & ~F.array_contains("_due_days", wd)
     wrong = F.array_compact(F.array(F.when(off_i, F.lit("issue_date")), F.when(off_d, F.lit("due_date"))))
     none, bad = wi.isNull() & wd.isNull(), F.size(wrong) > 0
     return _check(
@@ -293,8 +316,7 @@ def d_dates() -> Column:
 
 
 def d_bank() -> Column:
-    approved = tx.mask_account(F.col("context.approved_bank_account"))
-    have = F.coalesce(tx.mask_account(F.col("bank_details.bank_account")), tx.mask_account(F.col("context.invoice_payment.bank_account")))
+    approved, have = F.col("_want_account"), F.col("_account")
     same = have.eqNullSafe(approved)
     return _check(
         "bank_details", F.when(approved.isNull() | same, "pass").otherwise("fail"),
@@ -323,9 +345,7 @@ def d_credit() -> Column:
 
 
 def _po_case() -> tuple[Column, Column, Column]:
-    have = invoice_po()
-    cp = F.col("context.purchase_order")
-    want = F.coalesce(tx.null_if_empty(cp["normalized"]), tx.normalize_purchase_order(cp["po_number"]))
+    have, want = invoice_po(), F.col("_want_po")
     cand = F.col("context.candidate_open_po")
     return (have == "") & cand.isNotNull(), have == "", (want != "") & (have != want)
 
@@ -514,7 +534,7 @@ def _outcomes() -> list[tuple]:
 
 def with_checks(inv: DataFrame) -> DataFrame:
     """All seventeen checks as struct columns ``chk_<id>``."""
-    df = _with_alias_similarity(_vendor_facts(inv))
+    df = _with_alias_similarity(_vendor_facts(inv.withColumns(invoice_values())))
     return df.select("*", *[fn().alias(f"chk_{name}") for name, fn in CHECKS])
 
 

@@ -16,7 +16,7 @@ from billgrid.functions.boxes import box, box_of_words, merge_box
 from billgrid.functions.dates import parse_date, possible_dates
 from billgrid.functions.money import currency_for_money, last_money, money_mentions
 from billgrid.operators import grid
-from billgrid.operators.candidates import best_candidate, weak_geometry
+from billgrid.operators.candidates import best_candidate, stage, weak_geometry
 
 EMPTY_TEXTS = "cast(array() as array<string>)"
 
@@ -70,12 +70,12 @@ def _confidence() -> Column:
 
 
 def _identifier_candidates(labelled: DataFrame, lines: DataFrame) -> DataFrame:
-    ids = labelled.filter(F.col("field").isin("invoice_number", "purchase_order")).withColumn(
-        "said", grid.value_words(F.col("words"), F.col("hits"), F.col("h"))
+    ids = stage(
+        labelled.filter(F.col("field").isin("invoice_number", "purchase_order")),
+        said=grid.value_words(F.col("words"), F.col("hits"), F.col("h")),
     )
     here = (
-        ids.filter(F.size("said") > 0)
-        .withColumn("span", grid.leading_identifier(F.get("said", 0), F.get("said", 1)))
+        stage(ids.filter(F.size("said") > 0), span=grid.leading_identifier(F.get("said", 0), F.get("said", 1)))
         .filter("span is not null")
         .select(
             "doc_id", "field", "page", "seq", "label", "h", F.col("span.raw").alias("raw"),
@@ -102,8 +102,9 @@ def _identifier_candidates(labelled: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _value_candidates(labelled: DataFrame, lines: DataFrame) -> DataFrame:
-    vals = labelled.filter(F.col("field").isin("issue_date", "due_date", "terms")).withColumn(
-        "said", grid.words_after(F.col("words"), F.col("h"))
+    vals = stage(
+        labelled.filter(F.col("field").isin("issue_date", "due_date", "terms")),
+        said=grid.words_after(F.col("words"), F.col("h")),
     )
     own = F.col("text")
     cols = ["doc_id", "field", "page", "seq", "label", "h", "line_text", "raw", "bbox", "way"]
@@ -128,14 +129,13 @@ def _value_candidates(labelled: DataFrame, lines: DataFrame) -> DataFrame:
         F.coalesce("b.bbox", box(*[F.col(c) for c in ("x0", "top", "x1", "bottom")])).alias("bbox"),
         F.when(F.col("b").isNull(), "same_line").otherwise("below").alias("way"),
     )
-    both = here.select(*cols).unionByName(under.select(*cols)).withColumn("raw", tx.clean_raw(F.col("raw")))
+    both = stage(here.select(*cols).unionByName(under.select(*cols)), raw=tx.clean_raw(F.col("raw")))
     day = F.coalesce(parse_date(F.col("raw")), parse_date(F.col("line_text")))
-    dated = both.filter("field != 'terms'").withColumn("d", day).filter("d is not null").withColumn(
+    dated = stage(both.filter("field != 'terms'"), d=day).filter("d is not null").withColumn(
         "raw", F.col("d.raw")
     ).withColumn("value", F.col("d.value"))
-    terms = both.filter("field = 'terms'").withColumn("raw", tx.trim_at_known_label(F.col("raw"))).withColumn(
-        "value", tx.scalar_value("terms", F.col("raw"))
-    ).filter("value is not null")
+    terms = both.filter("field = 'terms'").withColumn("raw", tx.trim_at_known_label(F.col("raw")))
+    terms = stage(terms, value=tx.scalar_value("terms", F.col("raw"))).filter("value is not null")
     rows = dated.drop("d").unionByName(terms)
     return _record(
         rows, confidence=_confidence(), method=F.concat(F.lit("label_"), "way"),
@@ -196,47 +196,46 @@ def is_money_part(w: Column) -> Column:
 
 
 def rightmost_money(words: Column) -> Column:
-    """The amount furthest right: ``struct<raw, amount, currency, bbox>`` or NULL.
+    """The amount furthest right: ``struct<raw, amount, currency, bbox, x1>`` or NULL.
 
     Amounts may span up to three words that are close together ("USD", "1 200", ",50").
     """
-    ordered = F.sort_array(words)
-    starts = F.filter(
-        F.transform(ordered, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: is_money_part(p["w"])
-    )
 
-    def spans(p: Column) -> Column:
-        run = F.slice(ordered, p["i"] + 1, F.lit(3))
-        a, b, c = F.get(run, 0), F.get(run, 1), F.get(run, 2)
-        near = lambda left, right: right.isNotNull() & is_money_part(right) & (right["x0"] - left["x1"] <= 20.0)
-        two = near(a, b)
-        three = two & near(b, c)
-        return F.filter(
-            F.array(
-                F.slice(run, 1, 1), F.when(two, F.slice(run, 1, 2)), F.when(three, F.slice(run, 1, 3))
-            ),
-            lambda g: g.isNotNull(),
+    def best(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(ordered, lambda w, i: F.struct(is_money_part(w).alias("p"), i.alias("i"))), lambda s: s["p"]
         )
+        near = lambda left, right: right.isNotNull() & is_money_part(right) & (right["x0"] - left["x1"] <= 20.0)
 
-    def score(g: Column, n: Column) -> Column:
-        return F.struct(
-            F.array_max(F.transform(g, lambda w: w["x1"])).alias("x1"), F.size(g).alias("n"),
-            (-n).alias("first"), last_money(words_joined(g)).alias("money"), box_of_words(g).alias("bbox"),
-        )
+        def spans(run: Column) -> Column:
+            two = near(run[0], F.get(run, 1))
+            three = two & near(F.get(run, 1), F.get(run, 2))
+            n = F.when(three, 3).when(two, 2).otherwise(1)
+            return F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(run, F.lit(1), k))
 
-    scored = F.transform(F.flatten(F.transform(starts, spans)), score)
-    best = F.array_max(F.filter(scored, lambda s: s["money"].isNotNull()))
-    return F.when(
-        best.isNotNull(),
-        F.struct(
-            best["money"]["raw"].alias("raw"), best["money"]["amount"].alias("amount"),
-            best["money"]["currency"].alias("currency"), best["bbox"].alias("bbox"), best["x1"].alias("x1"),
+        groups = F.flatten(
+            F.transform(starts, lambda s: tx.let(F.slice(ordered, s["i"] + 1, F.lit(3)), spans))
+        )
+        scored = F.transform(
+            groups,
+            lambda g, n: F.struct(
+                F.array_max(F.transform(g, lambda w: w["x1"])).alias("x1"), F.size(g).alias("n"), (-n).alias("first"),
+                last_money(grid.words_text(g)).alias("money"), g.alias("g"),
+            ),
+        )
+        return F.array_max(F.filter(scored, lambda s: s["money"].isNotNull()))
+
+    shaped = tx.let(
+        tx.let(F.sort_array(words), best),
+        lambda b: F.when(
+            b.isNotNull(),
+            F.struct(
+                b["money"]["raw"].alias("raw"), b["money"]["amount"].alias("amount"), b["money"]["currency"].alias("currency"),
+                box_of_words(b["g"]).alias("bbox"), b["x1"].alias("x1"),
+            ),
         ),
     )
-
-
-def words_joined(g: Column) -> Column:
-    return grid.words_text(g)
+    return F.when(F.exists(words, is_money_part), shaped)
 
 
 def money_candidates(lines: DataFrame) -> DataFrame:
@@ -263,16 +262,13 @@ def money_candidates(lines: DataFrame) -> DataFrame:
         .withColumn("label", F.col("h.label"))
         .withColumn("seq", _seq("page", "line_no"))
         .withColumn("behind", F.slice("words", F.col("h.end") + 1, F.size("words")))
-        .withColumn("span", rightmost_money(F.filter("behind", lambda w: (w["tok"] != "") | w["cur"])))
-    )
-    said = F.filter("behind", lambda w: w["tok"] != "")
-    rows = rows.withColumn("said", said).withColumn(
-        "loose",
-        F.when(
-            F.col("span").isNull(),
-            F.coalesce(last_money(grid.join_words(F.col("said"))), last_money(F.col("text"))),
-        ),
-    ).filter("span is not null or loose is not null")
+    )
+    rows = stage(
+        rows, span=rightmost_money(F.filter("behind", lambda w: (w["tok"] != "") | w["cur"])),
+        said=F.filter("behind", lambda w: w["tok"] != ""),
+    )
+    by_line = F.coalesce(last_money(grid.join_words(F.col("said"))), last_money(F.col("text")))
+    rows = stage(rows, loose=F.when(F.col("span").isNull(), by_line)).filter("span is not null or loose is not null")
     generic = (F.col("field") == "balance_due") & (F.col("label") == "total")
     corner = F.when(grid.is_bottom_or_right(F.col("top"), F.col("x0")), 4).otherwise(0)
     by_words = F.when(generic, 76).otherwise(92)
@@ -459,9 +455,8 @@ def party_candidates(lines: DataFrame) -> DataFrame:
     )
     # followers cropped to the column; every test on them is independent of the others
     crop = F.filter("cand", lambda c: (c["x0"] >= F.col("left")) & ((c["x0"] + c["x1"]) / 2 < F.col("right")))
-    rows = joined.withColumn("crop", F.coalesce(crop, F.slice("words", 1, 0))).withColumn(
-        "chits", grid.label_hits(F.col("crop"))
-    )
+    rows = stage(joined, crop=F.coalesce(crop, F.slice("words", 1, 0)))
+    rows = stage(rows, chits=grid.label_hits(F.col("crop")))
     ctext = grid.join_words(F.col("crop"))
     cx0 = F.array_min(F.transform("crop", lambda c: c["x0"]))
     cx1 = F.array_max(F.transform("crop", lambda c: c["x1"]))
@@ -506,22 +501,26 @@ def party_candidates(lines: DataFrame) -> DataFrame:
         )
     )
     ambiguous = F.col("label").isin(*lx.AMBIGUOUS_PARTY_LABELS)
-    blocks = blocks.filter(~(ambiguous & _low_quality_party(F.col("raw"))))
+    flat = F.trim(F.translate("raw", "\n", " "))
+    vague = (
+        blocks.filter(ambiguous).withColumn("_flat", flat)
+        .withColumn("_toks", F.filter(F.transform(F.split("_flat", " "), lambda t: tx.canonical(t)), lambda t: t != ""))
+        .filter(~_low_quality_party()).drop("_flat", "_toks")
+    )
+    blocks = blocks.filter(~ambiguous).unionByName(vague)
     points = F.when(ambiguous, 80).otherwise(86) + F.when(F.col("n") > 1, 3).otherwise(0)
     return _record(
         blocks, confidence=F.least(points / 100.0, F.lit(0.92)), method=F.lit("party_block"), reason="label_collision"
     )
 
 
-def _low_quality_party(raw: Column) -> Column:
+def _low_quality_party() -> Column:
     """A block under a vague label that reads like a number, a date or a total."""
-    flat = F.trim(F.translate(raw, "\n", " "))
-    toks = F.filter(F.transform(F.split(flat, " "), tx.canonical), lambda t: t != "")
+    flat, toks = F.col("_flat"), F.col("_toks")
     letters = F.length(F.regexp_replace(flat, "[^A-Za-z]", ""))
     digits = F.length(F.regexp_replace(flat, r"\D", ""))
     return (
-        (F.size(toks) == 0)
-        | F.coalesce(F.get(toks, 0).isin(*lx.PARTY_NOISE_TOKENS), F.lit(True))
+        F.coalesce(F.get(toks, 0).isin(*lx.PARTY_NOISE_TOKENS), F.lit(True))
         | parse_date(flat).isNotNull()
         | tx.has_total_text(flat)
         | ((F.size(money_mentions(flat)) > 0) & (F.size(toks) <= 4))
@@ -631,7 +630,7 @@ def resolve_balance(fields: DataFrame, item_sums: DataFrame) -> DataFrame:
     best = F.array_min(
         F.transform("_options", lambda a, i: F.struct(F.abs(a["amount"] - F.col("expected")).alias("d"), i.alias("i"), a.alias("a")))
     )
-    joined = joined.withColumn("_options", F.when(F.col("expected").isNotNull(), options)).withColumn("_b", best)
+    joined = stage(stage(joined, _options=F.when(F.col("expected").isNotNull(), options)), _b=best)
     fits = F.coalesce(F.col("_b.d") <= F.greatest(F.lit(0.02), F.abs("expected") * 0.001), F.lit(False))
     rest = F.slice(F.filter("_options", lambda a: a["amount"] != F.col("_b.a.amount")), 1, 5)
     # an alternative that wins had its reasons removed; a winner keeps all but the settled ones

@@ -319,24 +319,20 @@ def following_lines(anchors: DataFrame, lines: DataFrame, gap: float, n: int) ->
 
 def leading_identifier(first: Column, second: Column) -> Column:
     """Identifier in one word, or in two when the first is a known prefix."""
-    one = tx.identifier_value(first["text"])
-    pair = F.array(first, second)
-    two = F.when(
-        second.isNotNull() & first["tok"].isin(*lx.IDENTIFIER_PREFIXES),
-        tx.identifier_value(words_text(pair)),
-    )
-    return F.when(
-        one.isNotNull(),
-        F.struct(
-            first["text"].alias("raw"), one.alias("value"), box_of_words(F.array(first)).alias("bbox"),
-            first["x0"].alias("x0"), first["top"].alias("top"),
-        ),
-    ).when(
-        two.isNotNull(),
-        F.struct(
-            words_text(pair).alias("raw"), two.alias("value"), box_of_words(pair).alias("bbox"),
-            first["x0"].alias("x0"), first["top"].alias("top"),
-        ),
+    single, pair = F.array(first), F.array(first, second)
+
+    def shape(value: Column, ws: Column) -> Column:
+        return F.when(
+            value.isNotNull(),
+            F.struct(
+                words_text(ws).alias("raw"), value.alias("value"), box_of_words(ws).alias("bbox"),
+                first["x0"].alias("x0"), first["top"].alias("top"),
+            ),
+        )
+
+    two = F.when(second.isNotNull() & first["tok"].isin(*lx.IDENTIFIER_PREFIXES), tx.identifier_value(words_text(pair)))
+    return F.coalesce(
+        tx.let(tx.identifier_value(first["text"]), lambda v: shape(v, single)), tx.let(two, lambda v: shape(v, pair))
     )
 
 

@@ -225,7 +225,7 @@ def rendered_words(inv: DataFrame, items: DataFrame) -> DataFrame:
     one = F.lit(1)
     last_page = F.greatest(F.ceil(F.col("n_lines") / ROWS_PER_PAGE), F.lit(1)).cast("int")
     rows_there = F.col("n_lines") - (last_page - 1) * ROWS_PER_PAGE
-    below = F.when(last_page == 1, 206.0).otherwise(20.0) + rows_there * 14 + 20
+    below = F.when(last_page == 1, 246.0).otherwise(20.0) + rows_there * 14 + 20
     put = lambda i, x, t: ln(last_page, below + 14 * i, seg(x, t))
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     head = F.array_compact(F.array(
@@ -238,7 +238,7 @@ def rendered_words(inv: DataFrame, items: DataFrame) -> DataFrame:
         F.when(F.col("vendor").isNotNull(), ln(one, F.lit(112), seg(20, F.col("vendor")))),
         ln(one, F.lit(140), seg(20, F.lit("Bill To"))),
         ln(one, F.lit(152), seg(20, F.col("buyer"))),
-        F.when(F.col("n_lines") > 0, ln(one, F.lit(190), seg(20, F.lit("Item")), seg(260, F.lit("Qty")), seg(320, F.lit("Rate")), seg(420, F.lit("Amount")))),
+        F.when(F.col("n_lines") > 0, ln(one, F.lit(230), seg(20, F.lit("Item")), seg(260, F.lit("Qty")), seg(320, F.lit("Rate")), seg(420, F.lit("Amount")))),
         put(0, 300, F.concat(F.lit("Subtotal "), usd("subtotal"))),
         put(1, 300, F.concat(F.lit("Discount "), usd("discount"))),
         put(2, 300, F.concat(F.lit("Tax "), usd("tax"))),
@@ -251,7 +251,7 @@ def rendered_words(inv: DataFrame, items: DataFrame) -> DataFrame:
     body = (
         items.withColumn("i", F.row_number().over(order) - 1)
         .withColumn("page", (F.floor(F.col("i") / ROWS_PER_PAGE) + 1).cast("int"))
-        .withColumn("top", F.when(F.col("page") == 1, 206.0).otherwise(20.0) + (F.col("i") % ROWS_PER_PAGE) * 14)
+        .withColumn("top", F.when(F.col("page") == 1, 246.0).otherwise(20.0) + (F.col("i") % ROWS_PER_PAGE) * 14)
         .select(
             F.col("k").cast("string").alias("doc_id"),
             ln(
