@@ -32,3 +32,22 @@ def text_similarity(a: Column, b: Column) -> Column:
     """Ratio in 0..1. Equal texts never reach Python: they are 1.0 by definition."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     return F.when(a == b, F.lit(1.0)).otherwise(_blocks_ratio(F.when(a != b, a), b))
+
+
+@F.pandas_udf(DoubleType())
+def _best_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for name, others in zip(a, options):
+        best = 0.0
+        for other in [] if name is None or others is None else others:
+            if (name, other) not in known:
+                known[name, other] = SequenceMatcher(None, name, other).ratio()
+            best = max(best, known[name, other])
+        out.append(best)
+    return pd.Series(out, dtype="float64")
+
+
+def best_similarity(a: Column, options: Column) -> Column:
+    """Highest ratio of a text to any of an array of texts; 0.0 where either is NULL."""
+    return _best_ratio(a, options)

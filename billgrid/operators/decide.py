@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from billgrid.functions import lexicon as lx
 from billgrid.functions import text as tx
 from billgrid.functions.dates import date_candidates, normalize_date
-from billgrid.functions.similarity import text_similarity
+from billgrid.functions.similarity import best_similarity
 
 CHECK = "struct<id:string,status:string,summary:string,evidence:string,context:string>"
 DEC = "decimal(12,2)"
@@ -195,24 +195,9 @@ def _vendor_facts(df: DataFrame) -> DataFrame:
     open_ = ~F.coalesce(F.col("_how"), F.lit("")).isin("normalized_name", "approved_alias", "unknown") & F.coalesce(
         F.col("context_available"), F.lit(False)
     )
-    df = df.withColumn("_sim", text_similarity(F.when(open_, F.col("_vendor")), F.when(open_ & (F.col("_approved") != ""), F.col("_approved"))))
-    df = df.withColumn("_sim", F.when(open_ & (F.col("_approved") != ""), F.col("_sim")).otherwise(F.lit(0.0)))
-    return df
-
-
-def _with_alias_similarity(df: DataFrame) -> DataFrame:
-    """Raise similarity by aliases: only open rows with aliases are exploded and re-joined."""
-    by_name = F.col("_how").isin("normalized_name", "approved_alias")
-    todo = df.filter(~F.coalesce(by_name, F.lit(False)) & (F.size("_aliases") > 0)).select(
-        "doc_id", "_vendor", F.explode("_aliases").alias("_alias")
-    )
-    best = (
-        todo.withColumn("_s", text_similarity(F.col("_vendor"), F.col("_alias")))
-        .groupBy("doc_id").agg(F.max("_s").alias("_alias_sim"))
-    )
-    return df.join(best, "doc_id", "left").withColumn(
-        "_sim", F.greatest("_sim", F.coalesce("_alias_sim", F.lit(0.0)))
-    ).drop("_alias_sim")
+    names = F.filter(F.concat(F.array("_approved"), "_aliases"), lambda n: n != "")
+    # rows an exact identity settled reach Python as NULL and cost nothing there
+    return df.withColumn("_sim", best_similarity(F.when(open_, F.col("_vendor")), F.when(open_, names)))
 
 
 def d_vendor() -> Column:
@@ -534,7 +519,7 @@ def _outcomes() -> list[tuple]:
 
 def with_checks(inv: DataFrame) -> DataFrame:
     """All seventeen checks as struct columns ``chk_<id>``."""
-    df = _with_alias_similarity(_vendor_facts(inv.withColumns(invoice_values())))
+    df = _vendor_facts(inv.withColumns(invoice_values()))
     return df.select("*", *[fn().alias(f"chk_{name}") for name, fn in CHECKS])
 
 
