@@ -245,13 +245,13 @@ def select_document(invoices: DataFrame, docs: DataFrame) -> DataFrame:
     """
     first = docs.groupBy("source").agg(F.min_by("document_id", "position").alias("first_id"))
     by_id = (
-        invoices.filter("wanted is not null")
+        invoices.filter("wanted is not null").select("doc_id", "source", "wanted")
         .join(docs.select("source", F.col("document_id").alias("wanted"), "position"), ["source", "wanted"])
         .groupBy("doc_id")
         .agg(F.min_by("wanted", "position").alias("document_id"))
         .withColumn("score", F.lit(None).cast("int"))
     )
-    free = invoices.filter("wanted is null")
+    free = invoices.filter("wanted is null").select("doc_id", "source", "number", "po", "vendor", "amount")
     offers = (
         docs.select("source", F.struct("position", "document_id").alias("at"), F.explode(_agreements([0])).alias("k"))
         .groupBy("source", "k")

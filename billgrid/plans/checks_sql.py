@@ -29,7 +29,7 @@ ITEMS = f"""
 items AS (
   SELECT l_orderkey AS k, COALESCE(p_name, 'item') AS description, CAST(l_quantity AS {DEC}) AS quantity,
     CAST(l_extendedprice AS {DEC}) AS amount,
-    CAST(round(CAST(l_extendedprice AS DECIMAL(18,6)) / CAST(l_quantity AS DECIMAL(18,6)), 2) AS {DEC}) AS unit_price
+    CAST(((2 * CAST(CAST(l_extendedprice AS {DEC}) * 100 AS BIGINT) + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT))) / 100.0 AS {DEC}) AS unit_price
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)"""
 
 #: matched procurement record per invoice; s is the record's scenario

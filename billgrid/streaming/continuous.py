@@ -48,7 +48,7 @@ def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str)
     spark = stream.sparkSession
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        earlier = spark.read.schema("unique_key string, batch long").parquet(known_path).filter(F.col("batch") < batch_id)
+        earlier = spark.read.schema("unique_key string, batch long").option("recursiveFileLookup", "true").parquet(known_path).filter(F.col("batch") < batch_id)
         fresh = admit_work(batch, earlier, earlier.limit(0))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
         written = spark.read.parquet(f"{out}/batch={batch_id:09d}")
