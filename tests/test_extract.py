@@ -48,6 +48,8 @@ DOCS = {
     "gap_ends": [*HEADER, *row("Platform", "2", "100.00", "200.00", 26), *row("Late", "1", "5.00", "5.00", 120)],
     "blocks": [word("Consignor", 20, 20), word("Consignee", 300, 20), word("Alpha", 20, 34), word("LLC", 50, 34), word("Beta", 300, 34), word("Foods", 330, 34),
                word("Terms", 20, 60), word("Net", 60, 60), word("30", 80, 60)],
+    "stacked": [word("Bill", 20, 20), word("To", 45, 20), word("Beta", 20, 34), word("Foods", 45, 34), word("88", 20, 46), word("Market", 35, 46),
+                word("Lane", 70, 46), word("Due", 20, 58), word("Date", 45, 58), word("2026-07-10", 80, 58)],
     "resolved": [word("Invoice", 20, 10), word("Date", 60, 10), word("03/04/2026", 100, 10), word("Due", 20, 24), word("Date", 60, 24), word("13/05/2026", 100, 24)],
 }
 
@@ -78,7 +80,10 @@ def test_fields(result):
     assert got["not_a_po"]["invoice_number"]["value"] == "INV-7"
     assert got["rmb"]["currency"]["value"] == "CNY"
     assert "buyer" not in got["vague_party"]
-    assert got["blocks"]["seller"]["value"] == "Alpha LLC" and got["blocks"]["buyer"]["value"] == "Beta Foods"
+    assert got["blocks"]["seller"]["value"] == "Alpha LLC"
+    # side by side, the wide gap below bounds both columns, which leaves the right one empty
+    assert "buyer" not in got["blocks"]
+    assert got["stacked"]["buyer"]["value"] == "Beta Foods\n88 Market Lane"
     assert got["blocks"]["seller"]["label"] == "consignor"
     # 3 April fits 13 May best: the day-first reading replaces the month-first default
     assert got["resolved"]["issue_date"]["value"] == "2026-04-03"
