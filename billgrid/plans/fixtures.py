@@ -64,7 +64,7 @@ def invoices(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"), F.to_date("o_orderdate").alias("issue_date"),
         F.col("o_orderstatus").alias("order_status"),
-    )
+    ).repartition("k")  # spread by key: what follows is heavy per row, and a small file is one split
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_name").alias("buyer"), F.col("c_nationkey").alias("nationkey")
     )
