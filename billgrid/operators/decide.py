@@ -14,6 +14,7 @@ from billgrid.functions import lexicon as lx
 from billgrid.functions import text as tx
 from billgrid.functions.dates import date_candidates, normalize_date
 from billgrid.functions.similarity import best_similarity
+from billgrid.operators.candidates import stage
 
 CHECK = "struct<id:string,status:string,summary:string,evidence:string,context:string>"
 DEC = "decimal(12,2)"
@@ -175,13 +176,10 @@ def _vendor_facts(df: DataFrame) -> DataFrame:
         F.transform(F.coalesce(cv["aliases"], none), lambda a: tx.normalize_vendor_name(a)), lambda a: a != ""
     )))
     clean = lambda ids, fn: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(ids, none), lambda v: fn(v)), lambda v: v != "")))
-    df = (
-        df.withColumn("_approved", approved)
-        .withColumn("_aliases", aliases)
-        .withColumn("_tax", tx.normalize_tax_identifier(cv["tax_id"]))
-        .withColumn("_vid", tx.normalize_identifier(cv["vendor_id"]))
-        .withColumn("_tax_ids", clean(F.col("vendor.tax_ids"), tx.normalize_tax_identifier))
-        .withColumn("_vendor_ids", clean(F.col("vendor.vendor_ids"), tx.normalize_identifier))
+    df = stage(
+        df, _approved=approved, _aliases=aliases, _tax=tx.normalize_tax_identifier(cv["tax_id"]),
+        _vid=tx.normalize_identifier(cv["vendor_id"]), _tax_ids=clean(F.col("vendor.tax_ids"), tx.normalize_tax_identifier),
+        _vendor_ids=clean(F.col("vendor.vendor_ids"), tx.normalize_identifier),
     )
     named = F.col("_vendor") != ""
     how = (
@@ -191,7 +189,7 @@ def _vendor_facts(df: DataFrame) -> DataFrame:
         .when((F.col("_tax") != "") & F.array_contains("_tax_ids", F.col("_tax")), "tax_id")
         .when((F.col("_vid") != "") & F.array_contains("_vendor_ids", F.col("_vid")), "vendor_id")
     )
-    df = df.withColumn("_how", how)
+    df = stage(df, _how=how)
     open_ = ~F.coalesce(F.col("_how"), F.lit("")).isin("normalized_name", "approved_alias", "unknown") & F.coalesce(
         F.col("context_available"), F.lit(False)
     )
@@ -519,8 +517,8 @@ def _outcomes() -> list[tuple]:
 
 def with_checks(inv: DataFrame) -> DataFrame:
     """All seventeen checks as struct columns ``chk_<id>``."""
-    df = _vendor_facts(inv.withColumns(invoice_values()))
-    return df.select("*", *[fn().alias(f"chk_{name}") for name, fn in CHECKS])
+    df = _vendor_facts(stage(inv, **invoice_values()))
+    return stage(df, **{f"chk_{name}": fn() for name, fn in CHECKS})
 
 
 def decide(inv: DataFrame) -> DataFrame:
@@ -531,7 +529,7 @@ def decide(inv: DataFrame) -> DataFrame:
     first = F.coalesce(
         *[F.when(F.col(f"chk_{o[0]}.status").isin(*o[1]), F.lit(i)) for i, o in enumerate(outs)], F.lit(len(outs))
     )
-    df = df.withColumn("_o", first)
+    df = stage(df, _o=first)
     # how many checks stand in the record: parse confidence is only acted on after parser status
     depth = [max(names.index(o[0]), 3 if o[0] == "parse_confidence" else 0) + 1 for o in outs] + [len(names)]
     pick = lambda values: F.get(F.array(*values), F.col("_o"))
