@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,26 +30,22 @@ def build_session(app: str = "billgrid", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-_local_dir: str | None = None
+_own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting falls back to a temporary folder of its
-    own; on a cluster a machine-local folder would be lost with the machine, so there the
-    setting is required.
+    Where it is unset, a folder beside the tables of the warehouse, which all executors share
+    as well; it is removed when the driver ends.
     """
-    global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="billgrid-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return _local_dir
+    if not _own:
+        _own.append(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, _own[0].removeprefix("file:"), ignore_errors=True)
+    return _own[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
