@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, common, mixing, token_counts
+from billgrid.llm import byte_bpe, common, licenses, mixing, simhash, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +18,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, its licenses and its best matches as text (template:license:containment:first word)."""
+    found = licenses.scan(common.read(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["license"], F.format_string("%.4f", m["containment"]), m["first_word"]))
+    return found.select("doc_id", "n_matches", "licenses", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("matches"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edited(common.read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op5_license_scan, op7_simhash, op10_source_mix)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS: dict[str, str] = {}
