@@ -70,14 +70,16 @@ def flight(sizes: list[float], chance: list[float], rng: random.Random) -> list[
 
 
 def landing(sizes: list[float], chance: list[float], rng: random.Random) -> list[float]:
-    """Settles what a flight leaves: the document total is given up first, then the sizes."""
+    """Settles what a flight leaves: the document total is given up first, so two open documents
+    move on with their sizes balanced; the last one is taken if that comes nearer to the total."""
     p = flight(sizes, chance, rng)
-    rest = sorted((k for k in range(len(p)) if 0 < p[k] < 1), key=lambda k: -sizes[k])
-    owed = sum(sizes[k] * p[k] for k in rest)
-    for k in rest:  # the largest first: take it if that comes nearer to what is owed
-        p[k] = 1 if abs(owed - sizes[k]) < abs(owed) or not sizes[k] and rng.random() < p[k] else 0
-        owed -= sizes[k] * p[k]
-    return p
+    rest = [k for k in range(len(p)) if 0 < p[k] < 1]
+    if len(rest) == 2:
+        i, j = rest
+        up, down = min((1 - p[i]) * sizes[i], p[j] * sizes[j]), min(p[i] * sizes[i], (1 - p[j]) * sizes[j])
+        step = up if rng.random() * (up + down) < down else -down
+        p[i], p[j] = p[i] + step / sizes[i], p[j] - step / sizes[j]
+    return [round(x) for x in p]
 
 
 def _flier(round_: int):
@@ -85,8 +87,11 @@ def _flier(round_: int):
         pdf = pdf.sort_values(["key", "size"], kind="stable")
         rng = random.Random(f"{pdf.source_key.iloc[0]} {pdf.block.iloc[0]} {round_}")
         run = landing if pdf.blocks.iloc[0] == 1 else flight
-        order = rng.sample(range(len(pdf)), len(pdf))
         sizes, chance = pdf["size"].tolist(), pdf.chance.tolist()
+        # random order, but the smallest tenth comes last, so that what stays open is small
+        order = sorted(range(len(pdf)), key=lambda k: (-sizes[k], k))
+        cut = len(order) - max(1, len(order) // 10)
+        order = rng.sample(order[:cut], cut) + order[cut:]
         for k, x in zip(order, run([sizes[k] for k in order], [chance[k] for k in order], rng)):
             chance[k] = float(x)
         return pdf[["source_key", "key", "size"]].assign(chance=chance)

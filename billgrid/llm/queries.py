@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, common, licenses, mixing, simhash, token_counts
+from billgrid.llm import byte_bpe, common, language_id, licenses, mixing, pii, simhash, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(common.read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page; the likelihoods are fitted on labelled documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    languages, table = language_id.fit(docs)
+    rows = language_id.evidence_of_documents(docs).unionByName(language_id.evidence_of_pages(common.read(spark, sf_dir, "pages")))
+    found = language_id.identify(rows, languages, table)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    return found.select("kind", of("document").alias("doc_id"), of("page").alias("page_id"), "host", "lang", "confidence", "text_lang", "declared", "kept")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op5_license_scan, op7_simhash, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op5_license_scan, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS: dict[str, str] = {}
