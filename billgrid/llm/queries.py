@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, common, language_id, licenses, mixing, pii, simhash, token_counts
+from billgrid.llm import byte_bpe, common, language_id, licenses, mixing, near_vectors, pii, simhash, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"), common.folder(spark, "token-cache"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(common.read(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
 
@@ -48,6 +52,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op5_license_scan, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op5_license_scan, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS: dict[str, str] = {}
