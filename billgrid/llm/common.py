@@ -6,18 +6,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billgrid.session import work_dir
 
 #: Characters that separate words: space, and U+0009 to U+000D.
-SPACE = "\t\n\x0b\x0c\r "
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
-#: Words end at SPACE only; these also end words of str.split() and are shielded from it.
-_OTHER_SPACE = set("\x1c\x1d\x1e\x1f\x85\xa0                　")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,19 +44,24 @@ def strings(column: pa.Array) -> list[str | None]:
         return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+def word_list(raw: bytes) -> list[bytes]:
+    """Words of a UTF-8 text, A-Z lowered: bytes know no case and no white space but ASCII's."""
+    return raw.lower().split()
 
 
-def words(text: str) -> list[str]:
-    """Maximal runs of characters other than SPACE."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    if _OTHER_SPACE.isdisjoint(text):
-        return text.split()
-    for c in SPACE[:-1]:
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+class WordHashes(dict):
+    """64-bit hash of each word, computed once while the table is small enough to keep."""
+
+    MOST = 2_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +73,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ranges(lengths: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n, one after the other."""
+    total = int(lengths.sum())
+    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def complete_groups(batches, columns: tuple[str, ...], keys: tuple[str, ...]):
+    """Chunks of columns as numpy arrays that end where a group ends; rows come sorted by ``keys``."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if batch.num_rows:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in columns}
+            other = np.flatnonzero(np.any([held[c] != held[c][-1] for c in keys], axis=0))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield {c: x[:cut] for c, x in held.items()}
+                held = {c: x[cut:] for c, x in held.items()}
+    if held is not None:
+        yield held
+
+
 def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
     """``id`` and ``component_id`` (smallest id reachable) of every id in ``links`` (columns a, b).
 

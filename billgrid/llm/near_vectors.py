@@ -131,13 +131,13 @@ def _pairs(models: dict[int, Codes]):
         base = np.add.reduceat(1 - chunk["visit"].astype(np.int64), start)  # base rows come first
         out_a, out_b = [], []
         # every base row meets the rows after it in its bucket
-        rows = np.repeat(start, base) + _ranges(base)
+        rows = np.repeat(start, base) + common.ranges(base)
         after = np.repeat(start + size, base) - rows - 1
         at = 0
         while at < len(rows):
             end = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), CELLS)) + at)
             i = np.repeat(rows[at:end], after[at:end])
-            j = i + 1 + _ranges(after[at:end])
+            j = i + 1 + common.ranges(after[at:end])
             keep = chunk["cls"][i] != chunk["cls"][j]
             keep &= (chunk["block"][i] == 0) | chunk["hot"][i] | chunk["hot"][j]
             i, j = i[keep], j[keep]
@@ -160,12 +160,6 @@ def _pairs(models: dict[int, Codes]):
     return found
 
 
-def _ranges(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each n, one after the other."""
-    total = int(lengths.sum())
-    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
 def _candidates(coded: DataFrame, classes: DataFrame, models: dict[int, Codes]) -> DataFrame:
     """a, b: pairs of other classes whose codes agree in some table but for one bit, and differ in at
     most the radius, each once.
@@ -205,7 +199,7 @@ def _candidates(coded: DataFrame, classes: DataFrame, models: dict[int, Codes])
             code = np.zeros((batch.num_rows, width), np.uint64)
             lengths = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy().view(np.uint64)
-            code[np.repeat(np.arange(batch.num_rows), lengths), _ranges(lengths)] = flat
+            code[np.repeat(np.arange(batch.num_rows), lengths), common.ranges(lengths)] = flat
             new["code"] = code
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             last = {c: held[c][-1] for c in bucket}

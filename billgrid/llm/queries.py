@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, common, language_id, licenses, mixing, near_vectors, pii, simhash, token_counts
+from billgrid.llm import byte_bpe, checks, common, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_matches", "licenses", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("matches"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_groups(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(common.read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op5_license_scan, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
 #: DuckDB SQL of the queries that SQL can express.
-CHECKS: dict[str, str] = {}
+CHECKS = checks.CHECKS
