@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, checks, common, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts
+from billgrid.llm import byte_bpe, checks, common, katz, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0
+    return katz.score(common.read(spark, sf_dir, "documents"), kept)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, its licenses and its best matches as text (template:license:containment:first word)."""
     found = licenses.scan(common.read(spark, sf_dir, "documents"))
@@ -56,6 +61,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op4_katz, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS = checks.CHECKS
