@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billgrid.llm import common
@@ -109,7 +109,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = "source_key string, key string, size double, chance double"
     settled, left, round_ = None, units.select("source_key", "key", "size", "chance"), 0
     while True:
-        counts = left.groupBy("source_key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        counts = common.stored(left.groupBy("source_key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
         blocked = left.join(counts, "source_key").withColumn("block", F.pmod(F.xxhash64("key", F.lit(round_)), F.col("blocks")).cast("int"))
 
         flown = common.stored(blocked.groupBy("source_key", "block").applyInPandas(_flier(round_), schema), f"flight-{round_}")
@@ -121,7 +121,8 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row of ``docs`` (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies of every row of ``docs`` (doc_id, text, source),
+    with source_key, key and i, which name the row.
 
     A source whose target is r times its size gives every document floor(r) times, and a balanced
     sample of its documents once more, drawn with chance r - floor(r); so no document exceeds
@@ -130,23 +131,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     Null sources are one source, the last; null and empty texts have size 0 and are never taken;
     repeated rows are drawn one by one (which of several identical rows gets the extra copy makes
     no difference); an empty table gives an empty result; other columns are ignored. Documents with
-    equal ids but other texts are told apart by a digest of their text.
+    equal ids but other texts are told apart by a hash of their text.
     """
-    text = common.whole_text()
-    sized = docs.select(
-        "doc_id", "source", F.size(F.array_remove(F.split(text, common.SPACE_CLASS + "+"), "")).cast("long").alias("size"),
-        F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text).cast("string")).alias("key"))
-    sized = common.stored(sized, "sized")
+    size = F.size(F.array_remove(F.split(common.whole_text(), common.SPACE_CLASS + "+"), "")).cast("long")
+    sized = common.stored(docs.select("doc_id", "source", size.alias("size"), _source_key().alias("source_key"), _key().alias("key")), "sized")
     targets = source_targets(sized, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = common.stored(targets.withColumn("base", F.floor(rate + _EPS).cast("int")).withColumn("chance", F.greatest(rate - F.col("base"), F.lit(0.0))), "targets")
-    # identical rows share a key: one unit for each, numbered
-    rows = sized.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n"))
-    rows = rows.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"), F.concat_ws(" ", "key", "i").alias("key"))
-    rows = rows.select("doc_id", "size", "key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"))
-    side = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "source_size", "target", "base", "chance")
-    rows = rows.join(side, "source_key")
-    drawn = cube_sample(rows.filter("size > 0 and chance > 0").select("source_key", "key", F.col("size").cast("double").alias("size"), "chance"), block)
-    copies = F.when(F.col("size") > 0, F.col("base") + F.coalesce("chosen", F.lit(0))).otherwise(0)
-    out = rows.join(drawn.select("source_key", "key", "chosen"), ["source_key", "key"], "left").withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "key", "source_key")
+    targets = targets.withColumn("base", F.floor(rate + _EPS).cast("int")).withColumn("chance", F.greatest(rate - F.col("base"), F.lit(0.0)))
+    targets = common.stored(targets.select(_source_key().alias("source_key"), "source_size", "target", "base", "chance"), "targets")
+    rows = sized.groupBy("source_key", "key", "doc_id", "size").agg(F.count("*").alias("n"))  # identical rows, numbered
+    rows = rows.select("source_key", "key", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).join(targets, "source_key")
+    unit = F.concat_ws(" ", "key", "i").alias("unit")
+    drawn = cube_sample(rows.filter("size > 0 and chance > 0").select("source_key", unit.alias("key"), F.col("size").cast("double").alias("size"), "chance"), block)
+    copies = F.when(F.col("size") > 0, F.col("base") + F.coalesce("chosen", F.lit(0))).otherwise(0).cast("int")
+    out = rows.withColumn("unit", unit).join(drawn.select("source_key", F.col("key").alias("unit"), "chosen"), ["source_key", "unit"], "left").withColumn("copies", copies)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source_key", "key", "i")
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _key() -> Column:
+    return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(common.whole_text()).cast("string"))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as often as ``mixed`` takes it."""
+    of = mixed.groupBy("source_key", "key").agg(F.sort_array(F.collect_list(F.struct("i", "copies"))).alias("of"))  # one entry for each identical row
+    given = [c for c in docs.columns]
+    order = Window.partitionBy("mix_source", "mix_key").orderBy(*[c for c in given if c not in ("doc_id", "text", "source")] or [F.lit(0)])
+    rows = docs.withColumn("mix_source", _source_key()).withColumn("mix_key", _key()).withColumn("mix_i", F.row_number().over(order))
+    met = rows.join(of, (F.col("mix_source") == F.col("source_key")) & (F.col("mix_key") == F.col("key")))
+    met = met.withColumn("mix_copies", F.get("of", F.col("mix_i") - 1)["copies"]).filter("mix_copies > 0")
+    return met.select(*given, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*given)

@@ -226,7 +226,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, partners: DataFrame, docs: Data
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, rid of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, group, row_key of every row of ``docs`` (doc_id, text); ``group``
+    names a component (null without a set) and ``row_key`` is a hash of id and text.
 
     Equal sets are one set, so copies form no pairs; each set is first tried with the least set in the
     lists of its first shingles, and only sets of other components become candidates afterwards: a
@@ -252,6 +253,21 @@ def join_groups(docs: DataFrame) -> DataFrame:
     named = sets.select("rid", "least").join(comps.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
     named = common.stored(named, "named-sets")
     of = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = common.stored(named.join(of, "comp").select("rid", "component_id"), "set-results")
-    out = rows.select("doc_id", "n", "rid").join(found, "rid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rid")
+    found = common.stored(named.join(of, "comp").select("rid", F.col("comp").alias("group"), "component_id"), "set-results")
+    out = rows.select("doc_id", "row_key", "n", "rid").join(found, "rid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group", "row_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that share a component with one of smaller id: one row of each stays.
+    Rows without words stay all; null ids give way to others."""
+    found = common.stored(join_groups(docs).select("doc_id", "group", "row_key"), "groups")
+    kept = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("row_key"))
+    kept = kept.unionByName(found.filter("group is null").select("row_key")).distinct()
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), common.whole_text()))
+    rows = keyed.join(kept, "row_key", "left_semi")
+    repeated = found.filter("group is not null").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key")
+    if not repeated.isEmpty():  # rows alike in id and text
+        again = rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+        rows = rows.join(repeated, "row_key", "left_anti").unionByName(again)
+    return rows.select(*docs.columns)
