@@ -173,7 +173,6 @@ REVIEW_CONFIDENCE = 0.80       # parsed fields below this need a person
 SECOND_SOURCE_CONFIDENCE = 0.85  # readings of a second source are held to this
 AMBIGUOUS_MIN_CONFIDENCE = 0.70  # enough to settle an ambiguous field
 FUZZY_VENDOR = 0.85
-MATCH_CANDIDATES = 20
 MAX_ATTACHMENT_BYTES = 25 * 1024 * 1024
 PARSER_VERSION = "static-pdf-v4"
 PIPELINE_VERSION = "local-adaptive-v4"

@@ -23,7 +23,7 @@ def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             out.append(None)
             continue
         if pair not in known:
-            known[pair] = SequenceMatcher(None, *pair).ratio()
+            known[pair] = SequenceMatcher(None, *pair, autojunk=False).ratio()
         out.append(known[pair])
     return pd.Series(out, dtype="float64")
 
@@ -42,7 +42,7 @@ def _best_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
         best = 0.0
         for other in [] if name is None or others is None else others:
             if (name, other) not in known:
-                known[name, other] = SequenceMatcher(None, name, other).ratio()
+                known[name, other] = SequenceMatcher(None, name, other, autojunk=False).ratio()
             best = max(best, known[name, other])
         out.append(best)
     return pd.Series(out, dtype="float64")

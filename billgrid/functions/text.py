@@ -173,7 +173,7 @@ def identifier_value(raw: Column) -> Column:
         strip_ws(squeeze(v)), rf"(?i)^([^a-z0-9 ]*(?:{prefixes})[^a-z0-9 ]*) ([^ ]+)$", "$1-$2"
     )
     token = F.regexp_extract(v, r"^[.:/_-]*([#A-Za-z0-9][#A-Za-z0-9./:_-]*?)[.:/_-]*$", 1)
-    return let(token, lambda t: F.when(t.rlike(r"\d"), F.left(t, F.lit(300))))
+    return let(token, lambda t: F.when(t.rlike(r"\d"), t))
 
 
 def clean_raw(c: Column) -> Column:
@@ -193,7 +193,7 @@ def trim_at_known_label(raw: Column) -> Column:
 def scalar_value(key: str, raw: Column) -> Column:
     if key in ("invoice_number", "purchase_order"):
         return identifier_value(strip_chars(text_or_empty(raw), " :\t\r\n"))
-    return null_if_empty(F.left(strip_chars(text_or_empty(raw), " :#\t\r\n"), F.lit(300)))
+    return null_if_empty(strip_chars(text_or_empty(raw), " :#\t\r\n"))
 
 
 def strip_leading_label(key: str, raw: Column, labels=lx.FIELD_LABELS) -> Column:
@@ -255,7 +255,7 @@ def quantity_token(c: Column) -> Column:
     token = F.regexp_extract(F.regexp_replace(strip_ws(text_or_empty(c)), ",", ""), r"^(\d+(?:\.\d+)?)$", 1)
     return let(
         F.when(~token.rlike("^(?:19|20)[0-9]{2}$"), token).try_cast("double"),
-        lambda value: F.when((value > 0) & (value <= 10000), value),
+        lambda value: F.when(value > 0, value),
     )
 
 

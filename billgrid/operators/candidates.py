@@ -30,11 +30,12 @@ def compare_key(amount: Column, value: Column, raw: Column) -> Column:
     return F.lower(F.trim(squeeze(text_or_empty(text))))
 
 
-def best_candidate(cands: DataFrame, max_alternatives: int = 5) -> DataFrame:
+def best_candidate(cands: DataFrame, max_alternatives: int | None = 5) -> DataFrame:
     """The most confident reading per (doc_id, field), lower on the page on ties.
 
     Marks it ambiguous (``reason``) when readings differ and the runner-up is within 0.08,
-    unless the winner's confidence reaches ``ceiling``. Up to five other values are kept.
+    unless the winner's confidence reaches ``ceiling``. Of the other values
+    ``max_alternatives`` are kept for display, all if it is None.
     ``cands`` carries RECORD plus doc_id, field, seq (array<int>), reason, ceiling.
 
     The winner is a mergeable aggregate and the alternatives are a limited rank, so a field
@@ -63,7 +64,7 @@ def best_candidate(cands: DataFrame, max_alternatives: int = 5) -> DataFrame:
     alternatives = (
         others.filter((F.col("_cmp") != "") & (F.col("_cmp") != F.col("_wcmp")))
         .withColumn("_r", F.row_number().over(rank))
-        .filter(F.col("_r") <= max_alternatives)
+        .filter(F.lit(True) if max_alternatives is None else F.col("_r") <= max_alternatives)
         .groupBy("doc_id", "field")
         .agg(F.sort_array(F.collect_list(F.struct("_r", "alt"))).alias("_alts"))
         .select("doc_id", "field", F.transform("_alts", lambda a: a["alt"]).cast(f"array<{ALTERNATIVE}>").alias("alternatives"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from billgrid.functions import text as tx
 from billgrid.functions.money import money_equal, money_key
+from billgrid.session import materialize
 
 SCORED = ("invoice_number", "issue_date", "due_date", "currency", "seller", "buyer", "balance_due")
 
@@ -102,11 +103,12 @@ def latency_summary(df: DataFrame, column: str = "duration_ms") -> DataFrame:
     """Median, 95th (rank ``round(0.95 n + 0.5)``, half to even) and maximum.
 
     Equal durations are counted first and ranks are running counts over distinct values, in
-    range partitions: only per-partition totals meet, never the values.
+    ranges that are stored once, so that every reader sees the same: only the totals of ranges meet,
+    never the values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.max("v").alias("max"))
-    banded = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    banded = materialize(counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id()), "latency-ranges")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = banded.groupBy("_p").agg(F.sum("n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     running = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

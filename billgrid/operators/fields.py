@@ -632,7 +632,7 @@ def resolve_balance(fields: DataFrame, item_sums: DataFrame) -> DataFrame:
     )
     joined = stage(stage(joined, _options=F.when(F.col("expected").isNotNull(), options)), _b=best)
     fits = F.coalesce(F.col("_b.d") <= F.greatest(F.lit(0.02), F.abs("expected") * 0.001), F.lit(False))
-    rest = F.slice(F.filter("_options", lambda a: a["amount"] != F.col("_b.a.amount")), 1, 5)
+    rest = F.filter("_options", lambda a: a["amount"] != F.col("_b.a.amount"))
     # an alternative that wins had its reasons removed; a winner keeps all but the settled ones
     reasons = F.when(F.col("_b.i") > 0, F.expr(EMPTY_TEXTS)).otherwise(
         F.array_except("ambiguity_reasons", F.array(F.lit("multiple_totals"), F.lit("weak_geometry")))

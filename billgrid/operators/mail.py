@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from billgrid.functions import dates as dx
 from billgrid.functions import keys as kx
@@ -11,8 +15,6 @@ from billgrid.functions import lexicon as lx
 from billgrid.functions.text import text_or_empty
 
 NONE = "cast(array() as array<string>)"
-#: inlined MIME nesting depth; deeper parts are reached by raising it
-MIME_DEPTH = 8
 
 
 def is_pdf_attachment(mime: Column, name: Column) -> Column:
@@ -31,9 +33,10 @@ def is_invoice_candidate(values: list[Column], patterns: Column) -> Column:
 def filter_candidates(att: DataFrame, settings: DataFrame, columns=("filename", "subject", "body", "snippet")) -> DataFrame:
     """P9 + P10: drop attachments their owner's patterns exclude; label the rest.
 
-    Owners without settings have no patterns and keep everything.
+    Owners without settings have no patterns and keep everything. Invalid patterns do not take part:
+    see :func:`bad_patterns`.
     """
-    with_p = att.join(settings.select("owner_user_id", "patterns"), "owner_user_id", "left").withColumn(
+    with_p = att.join(usable_patterns(settings.select("owner_user_id", "patterns")), "owner_user_id", "left").withColumn(
         "patterns", F.coalesce("patterns", F.expr(NONE))
     )
     hit = is_invoice_candidate([F.col(c) for c in columns if c in att.columns], F.col("patterns"))
@@ -59,7 +62,7 @@ def decode_base64(c: Column, url_safe: bool) -> Column:
 
 
 def valid_pdf(encoded: Column, declared: Column, url_safe: bool, limit: int = lx.MAX_ATTACHMENT_BYTES) -> Column:
-    """The decoded file when every guard passes, else NULL.
+    """The decoded file when every guard passes, else NULL; :func:`pdf_rejection` tells why.
 
     Sizes are tested before decoding, so oversized text is never decoded.
     """
@@ -68,23 +71,64 @@ def valid_pdf(encoded: Column, declared: Column, url_safe: bool, limit: int = lx
     return F.when((F.octet_length(content) <= limit) & (F.hex(F.substring(content, 1, 5)) == "255044462D"), content)
 
 
+def pdf_rejection(encoded: Column, declared: Column, url_safe: bool, limit: int = lx.MAX_ATTACHMENT_BYTES) -> Column:
+    """Why :func:`valid_pdf` gives no file: absent, oversized, malformed or no PDF; else NULL."""
+    large = F.coalesce(declared.try_cast("long") > limit, F.lit(False)) | (F.length(encoded) > ((limit + 2) // 3) * 4)
+    content = F.when(~large, decode_base64(encoded, url_safe))
+    return (
+        F.when(encoded.isNull(), "absent").when(large | (F.octet_length(content) > limit), "oversized")
+        .when(content.isNull(), "malformed").when(F.hex(F.substring(content, 1, 5)) != "255044462D", "not_a_pdf")
+    )
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _compiling(patterns: pd.Series) -> pd.Series:
+    def ok(p: str) -> bool:
+        try:
+            re.compile(p)
+        except re.error:
+            return False
+        return True
+
+    return patterns.map(lambda ps: None if ps is None else [p for p in ps if p is not None and ok(p)])
+
+
+def usable_patterns(settings: DataFrame) -> DataFrame:
+    """Settings with the patterns that are valid expressions, so that one owner's mistake does not
+    fail everybody's work. One small call per owner, not per message."""
+    return settings.withColumn("patterns", _compiling("patterns"))
+
+
+def bad_patterns(settings: DataFrame) -> DataFrame:
+    """owner_user_id, pattern, reason of the patterns that :func:`usable_patterns` leaves out."""
+    bad = F.array_except(F.array_compact("patterns"), _compiling("patterns"))
+    return settings.select("owner_user_id", F.explode(bad).alias("pattern"), F.lit("invalid expression").alias("reason"))
+
+
 def provider_attachments(att: DataFrame) -> DataFrame:
     """Attached files only, nothing inline."""
     kind = F.coalesce("odata_type", F.lit(""))
     return att.filter(kind.isin("", "#microsoft.graph.fileAttachment") & ~F.coalesce("is_inline", F.lit(False)))
 
 
-def mime_parts(messages: DataFrame, payload: str = "payload", depth: int = MIME_DEPTH) -> DataFrame:
+def mime_parts(messages: DataFrame, payload: str = "payload", depth: int | None = None) -> DataFrame:
     """All MIME parts of nested JSON payloads, depth first: path, mime, filename, body.
 
-    One exploded level per step; the loop only builds the plan, the rows stay distributed.
+    One exploded level per step; the loop only builds the plan, the rows stay distributed. Without
+    ``depth`` there are as many levels as any payload can have: a level names its parts. A stream
+    must give it; deeper payloads then fail instead of losing parts.
     """
+    if depth is None:
+        depth = 1 + (messages.agg(F.max(F.regexp_count(payload, F.lit('"parts"')))).first()[0] or 0)
     level = messages.select("message_id", F.expr(NONE).alias("path"), F.col(payload).alias("part"))
     out = None
-    for _ in range(depth):
+    for step in range(depth):
         here = level.filter("part is not null").select("message_id", "path", "part")
         out = here if out is None else out.unionByName(here)
         kids = F.from_json(F.get_json_object("part", "$.parts"), "array<string>")
+        if step == depth - 1:
+            cut = F.when(F.size(kids) > 0, F.raise_error(F.lit("parts below the given depth")).cast("string"))
+            out = out.withColumn("part", F.coalesce(F.when(F.size("path") == step, cut), F.col("part")))
         # objects inside the array come back as their JSON text
         level = here.select("message_id", "path", F.posexplode(kids).alias("i", "child")).select(
             "message_id", F.concat("path", F.array(F.format_string("%04d", "i"))).alias("path"), F.col("child").alias("part")

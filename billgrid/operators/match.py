@@ -50,16 +50,16 @@ def _amount_key(kind: str, amount: Column, day: Column | None = None) -> Column:
     return F.when(amount.isNotNull(), F.concat_ws("|", *parts, *([day.cast("string")] if day is not None else [])))
 
 
-def match_ap_context(keys: DataFrame, ap: DataFrame, newest: int = lx.MATCH_CANDIDATES) -> DataFrame:
+def match_ap_context(keys: DataFrame, ap: DataFrame) -> DataFrame:
     """The record of each invoice, by purchase order, else number, else amount and date.
 
-    Per tier the newest 20 records of a key compete on vendor similarity (W2); the first tier
-    with any record wins. Blank keys match nothing.
+    Per tier all records of a key compete on vendor similarity (W2), the newer one on ties; the
+    first tier with any record wins. Blank keys match nothing.
 
-    Keys may be very uneven, so both sides shrink before they meet: records are limited to 20
-    per key with the limit below the shuffle, and invoices are reduced to the distinct
-    (key, vendor) pairs they ask for. A hot key thus costs its distinct vendors times 20,
-    and the result joins back on a unique key.
+    Keys may be very uneven, so both sides shrink before they meet: a key keeps the newest record
+    of each vendor, and invoices are reduced to the distinct (key, vendor) pairs they ask for.
+    No record beats one of the very vendor, so those pairs are settled by an equi-join; a pair
+    without a vendor takes the newest record. Only what is left meets the key's other vendors.
 
     Output: doc_id, ap_id, similarity, match_strategy (only matched invoices).
     """
@@ -88,15 +88,21 @@ def match_ap_context(keys: DataFrame, ap: DataFrame, newest: int = lx.MATCH_CAND
             _key(3, 1, _amount_key("any", total)),
         ))).alias("k"),
     ).select("owner", "ap_id", "updated_at", "ap_vendor", "k.tier", "k.key")
-    newest_first = [F.desc("updated_at"), F.desc("ap_id")]
-    offers = top_per_key(offers, ["owner", "tier", "key"], newest_first, newest)
+    newest = F.struct("updated_at", "ap_id")
+    offers = offers.groupBy("owner", "tier", "key", "ap_vendor").agg(F.max(newest).alias("o"))
+    of_key = offers.groupBy("owner", "tier", "key").agg(F.max(F.struct("o", "ap_vendor")).alias("n")).select("owner", "tier", "key", "n.o", "n.ap_vendor")
 
     # one contest per distinct question
     questions = asks.select("owner", "tier", "q", "vendor", "sub", "key").distinct()
-    met = questions.join(offers, ["owner", "tier", "key"])
-    met = top_per_key(met, ["owner", "tier", "q", "vendor"], ["sub", *newest_first], newest)
-    met = met.withColumn(
-        "similarity", F.when(F.col("vendor") == "", F.lit(0.0)).otherwise(text_similarity(F.col("vendor"), F.col("ap_vendor")))
+    named, unnamed = questions.filter("vendor <> ''"), questions.filter("vendor = ''")
+    same = named.withColumn("ap_vendor", F.col("vendor")).join(offers, ["owner", "tier", "key", "ap_vendor"])
+    open_ = named.join(same.select("owner", "tier", "q", "vendor").distinct(), ["owner", "tier", "q", "vendor"], "left_anti")
+    columns = ["owner", "tier", "q", "vendor", "sub", "ap_vendor", "o.updated_at", "o.ap_id"]
+    like = text_similarity(F.col("vendor"), F.col("ap_vendor")).alias("similarity")
+    met = (
+        same.select(*columns, F.lit(1.0).alias("similarity"))
+        .unionByName(unnamed.join(of_key, ["owner", "tier", "key"]).select(*columns, F.lit(0.0).alias("similarity")))
+        .unionByName(open_.join(offers, ["owner", "tier", "key"]).select(*columns, like))
     )
     best = met.groupBy("owner", "tier", "q", "vendor").agg(
         F.max_by(
@@ -127,12 +133,12 @@ def match_strategy(tier: Column, vendor: Column, ap_vendor: Column, similarity:
     return out
 
 
-def best_ap_candidate(cands: DataFrame, keys, vendor: str, newest: int = lx.MATCH_CANDIDATES) -> DataFrame:
-    """W2 alone: of the newest 20 candidates per key the one with the most similar vendor.
+def best_ap_candidate(cands: DataFrame, keys, vendor: str, newest: int | None = None) -> DataFrame:
+    """W2 alone: the candidate of each key with the most similar vendor, of the ``newest`` if given.
 
     Equal similarity keeps the newer record; a blank vendor takes the newest with 0.0.
     """
-    recent = top_per_key(cands, keys, [F.desc("updated_at"), F.desc("ap_id")], newest)
+    recent = cands if newest is None else top_per_key(cands, keys, [F.desc("updated_at"), F.desc("ap_id")], newest)
     scored = recent.withColumn(
         "similarity",
         F.when(F.coalesce(F.col(vendor), F.lit("")) == "", F.lit(0.0)).otherwise(

@@ -64,9 +64,11 @@ def queue_row(rows: DataFrame) -> DataFrame:
 
 
 def page_rows(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Newest first, 1 to 500 rows from an offset. The limit is the feature: one screen."""
+    """Newest first, ``limit`` rows from an offset. The limit is the feature: one screen."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has at least one row and does not start before the first")
     recent = F.coalesce("received_at", "updated_at")
-    return rows.orderBy(F.desc(recent), F.desc("updated_at"), F.desc("pdf_file_id")).offset(max(0, offset)).limit(max(1, min(limit, 500)))
+    return rows.orderBy(F.desc(recent), F.desc("updated_at"), F.desc("pdf_file_id")).offset(offset).limit(limit)
 
 
 def list_invoices(extractions, decisions, attachments, messages, owner: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:

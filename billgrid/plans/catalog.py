@@ -42,9 +42,14 @@ def joined(c: Column) -> Column:
 # --- decisions, matching, normalization ------------------------------------------------
 
 
+def _norm_and_ap(spark, sf):
+    """Normalized invoices and procurement records, each computed once for all who read them."""
+    inv = _kept(spark, sf, "invoice-view", lambda: fx.invoices(spark, sf))
+    return _kept(spark, sf, "normalized", lambda: fx.normalized(inv)), _kept(spark, sf, "ap-records", lambda: fx.ap_records(inv))
+
+
 def _hydrated(spark, sf):
-    inv = fx.invoices(spark, sf)
-    norm, ap = fx.normalized(inv), fx.ap_records(inv)
+    norm, ap = _norm_and_ap(spark, sf)
     return match.hydrate_context(norm, match.match_ap_context(match.match_keys(norm), ap), ap)
 
 

@@ -140,7 +140,7 @@ def ap_records(inv: DataFrame) -> DataFrame:
             (authorized - consumed).cast(DEC).alias("remaining_before_invoice"),
         ).alias("purchase_order"),
         bal.alias("invoice_total"),
-        F.when(s == 6, F.format_string("**** %04d", (F.col("suppkey") + 1) % 10000)).otherwise(F.col("bank_account")).alias("approved_bank_account"),
+        F.when((s == 6) & F.col("suppkey").isNotNull(), F.format_string("**** %04d", (F.col("suppkey") + 1) % 10000)).otherwise(F.col("bank_account")).alias("approved_bank_account"),
         F.struct(F.lit(None).cast("string").alias("bank_account"), F.lit(None).cast("string").alias("remit_to")).alias("invoice_payment"),
         F.when(s == 1, F.array(reference(F.concat(F.lit("P-"), F.col("invoice_number"))))).otherwise(none).alias("previous_invoices"),
         F.when(s == 4, F.array(reference(F.col("invoice_number")))).otherwise(none).alias("duplicate_candidates"),

@@ -61,7 +61,12 @@ def append_runs(df: DataFrame, path: str) -> None:
 
 
 def replace_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """Replace one batch and leave the others alone."""
+    """Replace one batch and leave the others alone; a batch without rows is emptied."""
+    if df.isEmpty():
+        spark = df.sparkSession
+        batch = spark._jvm.org.apache.hadoop.fs.Path(path, f"batch_id={batch_id}")
+        batch.getFileSystem(spark._jsc.hadoopConfiguration()).delete(batch, True)
+        return
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 

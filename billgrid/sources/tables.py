@@ -23,6 +23,15 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def bad_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Origin and reason of the manifest files that :func:`read_manifests` has no document of."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.manifest.json").text(path)
+    parsed = F.try_parse_json("value")
+    documents = F.try_variant_get(parsed, "$.documents", "array<variant>")
+    reason = F.when(parsed.isNull(), "unreadable").when(documents.isNull(), "no documents").when(F.size(documents) == 0, "empty")
+    return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("origin"), reason.alias("reason")).filter("reason is not null")
+
+
 def read_document_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """PDF files of a folder, whatever the case of their suffix. Name, size, bytes."""
     files = (

@@ -51,13 +51,17 @@ def test_typo_vendor_wins_over_unrelated_vendor(spark):
     assert "f" not in got  # other owner's record
 
 
-def test_only_the_newest_twenty_compete(spark):
+def test_all_records_of_a_key_compete(spark):
+    """Fifty records of one key, the oldest of the very vendor, the second of a like one."""
     t = dt.datetime(2026, 1, 1)
-    keys = spark.createDataFrame([("a", "o", "acme", "P", "", None, None)], "doc_id string, owner string, vendor string, po string, number string, amount decimal(12,2), day date")
+    keys = [("a", "acme"), ("b", "acme tools"), ("c", ""), ("d", "beta industries")]
+    keys = spark.createDataFrame([(i, "o", v, "P", "", None, None) for i, v in keys], "doc_id string, owner string, vendor string, po string, number string, amount decimal(12,2), day date")
+    vendor = {0: "acme", 1: "acme tool", 2: None}
     ap = spark.createDataFrame(
-        [(i, "o", "acme" if i == 0 else f"zz{i}", "P", None, None, None, t + dt.timedelta(i)) for i in range(25)],
+        [(i, "o", vendor.get(i, f"zz{i}"), "P", None, None, None, t + dt.timedelta(i)) for i in range(50)] + [(99, "o", "acme", "P", None, None, None, t - dt.timedelta(9))],
         "id long, owner_user_id string, normalized_vendor string, normalized_purchase_order string, normalized_invoice_number string, invoice_total decimal(12,2), issue_date date, updated_at timestamp")
-    assert match.match_ap_context(keys, ap).collect()[0]["match_strategy"] == "po"
+    got = {r["doc_id"]: (r["ap_id"], r["match_strategy"]) for r in match.match_ap_context(keys, ap).collect()}
+    assert got["a"] == (0, "vendor_po") and got["b"] == (1, "fuzzy_vendor_po") and got["c"] == (49, "po") and got["d"][1] == "po"
 
 
 def test_manifest_context_defaults(spark, tmp_path):

@@ -42,7 +42,7 @@ def V():
             "VALIDATED IMPORT 488": None, "abc": None, "CM 9": "CM-9", "12 . 5": "12.5",
         }),
         (text.clean_raw, {" : a  b\u00a0c : ": "a b c"}),
-        (text.quantity_token, {"1,200": 1200.0, "2.5": 2.5, "2024": None, "0": None, "10001": None, "x": None}),
+        (text.quantity_token, {"1,200": 1200.0, "2.5": 2.5, "2024": None, "0": None, "10001": 10001.0, "x": None}),
         (text.quantity_from_text, {"about 3 units in 2024": 3.0, "in 2024": None}),
         (text.clean_description, {" - Widget  blue USD $ :": "Widget blue", "USD": "", "a - b": "a - b"}),
         (text.looks_like_non_item, {"Subtotal": True, "VAT 20%": False, "Page 2": True, "Taxi ride": False,
