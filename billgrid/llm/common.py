@@ -52,7 +52,7 @@ def word_list(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, computed once while the table is small enough to keep."""
 
-    MOST = 2_000_000
+    MOST = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -77,10 +77,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     spark = docs.sparkSession
     table = template_table(spark, templates)
     held = [(r.template, r.license, r.shingles, r.n) for r in table.collect()]  # the templates given, hashed
-    kind = "n_matches long, licenses string, matches array<struct<template:int,license:string,containment:double,first_word:int>>"
+    kind = "array<struct<template:int,license:string,containment:double,first_word:int>>"
     named = docs.select("doc_id", F.sha2(common.whole_text(), 256).alias("digest"))
     if not held:
-        return named.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in kind.split(", "))])
+        return named.select("doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit("").alias("licenses"), F.lit(None).cast(kind).alias("matches"))
     known = F.array(*[F.lit(h) for h in sorted({h for _, _, x, _ in held for h in x})])
     texts = docs.select(F.sha2(common.whole_text(), 256).alias("digest"), shingles(common.whole_text()).alias("s")).filter(F.arrays_overlap("s", known))
     texts = texts.select("digest", "s", F.array_compact(F.transform("s", lambda h, i: F.when(F.array_contains(known, h), i))).alias("hits"))

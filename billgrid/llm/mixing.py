@@ -11,6 +11,8 @@ from billgrid.llm import common
 
 #: Documents that one flight handles; also the size from which on a source is one block.
 BLOCK = 4000
+#: Documents of each block, the smallest, that are left to the landing.
+HELD = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 _EPS = 1e-9
 
@@ -70,28 +72,49 @@ def flight(sizes: list[float], chance: list[float], rng: random.Random) -> list[
 
 
 def landing(sizes: list[float], chance: list[float], rng: random.Random) -> list[float]:
-    """Settles what a flight leaves: the document total is given up first, so two open documents
-    move on with their sizes balanced; the last one is taken if that comes nearer to the total."""
-    p = flight(sizes, chance, rng)
-    rest = [k for k in range(len(p)) if 0 < p[k] < 1]
-    if len(rest) == 2:
-        i, j = rest
-        up, down = min((1 - p[i]) * sizes[i], p[j] * sizes[j]), min(p[i] * sizes[i], (1 - p[j]) * sizes[j])
-        step = up if rng.random() * (up + down) < down else -down
-        p[i], p[j] = p[i] + step / sizes[i], p[j] - step / sizes[j]
-    return [round(x) for x in p]
+    """Settles everything, the largest sizes first, in strata that halve.
+
+    Each stratum has a flight of its own; what stays open in it, two documents at most, is drawn by
+    its chance. The words drawn too many or too few are taken up by the chances of the smaller ones,
+    so the total is missed by no more than a few of the smallest documents. The means stay: draws are
+    right on average.
+    """
+    p = list(chance)
+    strata: dict[int, list[int]] = {}
+    for k, s in enumerate(sizes):
+        strata.setdefault(int(s).bit_length(), []).append(k)
+    over = 0.0
+    left = sum(s for s, x in zip(sizes, p) if 0 < x < 1)
+    for _, units in sorted(strata.items(), reverse=True):
+        shift = -over / left if left else 0.0
+        for k in units:
+            if 0 < p[k] < 1:
+                left -= sizes[k]
+                moved = min(1.0, max(0.0, p[k] + shift)) - p[k]
+                over += moved * sizes[k]
+                p[k] += moved
+        flown = flight([sizes[k] for k in units], [p[k] for k in units], rng)
+        for k, x in zip(units, flown):
+            p[k] = x
+        for k in sorted((k for k in units if 0 < p[k] < 1), key=lambda k: -sizes[k]):
+            # beside an error of the same order, what lessens it is taken
+            x = round(p[k] - over / sizes[k]) if left == 0 else float(rng.random() < p[k])
+            x = min(1.0, max(0.0, float(x)))
+            over += (x - p[k]) * sizes[k]
+            p[k] = x
+    return p
 
 
 def _flier(round_: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "size"], kind="stable")
         rng = random.Random(f"{pdf.source_key.iloc[0]} {pdf.block.iloc[0]} {round_}")
-        run = landing if pdf.blocks.iloc[0] == 1 else flight
         sizes, chance = pdf["size"].tolist(), pdf.chance.tolist()
-        # random order, but the smallest tenth comes last, so that what stays open is small
-        order = sorted(range(len(pdf)), key=lambda k: (-sizes[k], k))
-        cut = len(order) - max(1, len(order) // 10)
-        order = rng.sample(order[:cut], cut) + order[cut:]
+        order = rng.sample(range(len(sizes)), len(sizes))
+        run = landing
+        if pdf.blocks.iloc[0] > 1:  # the smallest wait for the landing
+            run, order = flight, sorted(order, key=lambda k: -sizes[k])[:-HELD]
+            order = rng.sample(order, len(order))
         for k, x in zip(order, run([sizes[k] for k in order], [chance[k] for k in order], rng)):
             chance[k] = float(x)
         return pdf[["source_key", "key", "size"]].assign(chance=chance)
@@ -103,8 +126,8 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """``units`` (source_key, key, size, chance) with ``chosen`` 0 or 1: balanced sample of each source.
 
     Flights run in blocks of about ``block`` units and keep each block's totals; what they leave
-    open, at most two units a block, goes into blocks of the next round, until a source has one
-    block, which lands. Blocks, order and random numbers follow from ``key`` alone, so reruns agree.
+    open, at most two units a block, goes into blocks of the next round with the block's HELD smallest
+    units, until a source has one block, which lands. Blocks, order and random numbers follow from ``key`` alone, so reruns agree.
     """
     schema = "source_key string, key string, size double, chance double"
     settled, left, round_ = None, units.select("source_key", "key", "size", "chance"), 0
@@ -159,9 +182,8 @@ def _key() -> Column:
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Every row of ``docs`` as often as ``mixed`` takes it."""
     of = mixed.groupBy("source_key", "key").agg(F.sort_array(F.collect_list(F.struct("i", "copies"))).alias("of"))  # one entry for each identical row
-    given = [c for c in docs.columns]
-    order = Window.partitionBy("mix_source", "mix_key").orderBy(*[c for c in given if c not in ("doc_id", "text", "source")] or [F.lit(0)])
-    rows = docs.withColumn("mix_source", _source_key()).withColumn("mix_key", _key()).withColumn("mix_i", F.row_number().over(order))
-    met = rows.join(of, (F.col("mix_source") == F.col("source_key")) & (F.col("mix_key") == F.col("key")))
-    met = met.withColumn("mix_copies", F.get("of", F.col("mix_i") - 1)["copies"]).filter("mix_copies > 0")
-    return met.select(*given, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*given)
+    rows = docs.select(F.struct("*").alias("given"), _source_key().alias("source_key"), _key().alias("key"))
+    order = Window.partitionBy("source_key", "key").orderBy(*[f"given.{c}" for c in docs.columns if c not in ("doc_id", "text", "source")], F.lit(0))
+    met = rows.withColumn("i", F.row_number().over(order)).join(of, ["source_key", "key"])
+    met = met.select("given", F.get("of", F.col("i") - 1)["copies"].alias("copies")).filter("copies > 0")
+    return met.select("given", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("given.*")

@@ -16,7 +16,7 @@ COSINE, TABLES, KEY_BITS, ROUNDS, FIT_ROWS = 0.9, 8, 16, 50, 10_000
 #: Members of one class in one bucket from which on the bucket is dealt out in blocks.
 HOT = 4096
 #: Pairs whose codes are compared in one numpy step.
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 class Codes:
@@ -31,7 +31,7 @@ class Codes:
         rotations = -(-tables // self.per_rotation)
         self.tables = rotations * self.per_rotation
         self.mean = x.mean(0)
-        _, _, axes = np.linalg.svd(x - self.mean, full_matrices=True)
+        axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1].T[::-1]  # principal axes, the widest first
         v = (x - self.mean) @ axes[: self.bits].T
         rng = np.random.default_rng(seed)
         self.maps = []
@@ -69,7 +69,7 @@ def fit(distinct: DataFrame, rows: int = FIT_ROWS) -> dict[int, Codes]:
     models = {}
     for dim, n in sorted(sizes.items()):
         some = distinct.filter((F.col("dim") == dim) & (F.pmod("cid", F.lit(max(1, n // rows))) == 0)).orderBy("cid").limit(2 * rows)
-        x = np.array(some.select("v").toArrow().column("v").to_pylist(), dtype=np.float64)
+        x = some.select("v").toArrow().column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         if len(x):
             models[dim] = Codes(x, n)
     return models

@@ -13,9 +13,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows whose text is in one of the languages that the table labels."""
     languages, table = language_id.fit(docs)
     found = language_id.identify(language_id.evidence_of_documents(docs), languages, table)
-    out = found.filter("not kept").select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), F.col("host").alias("r_host")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(common.whole_text()) == F.col("r_key")) & (F.coalesce("source", F.lit("")) == F.col("r_host"))
-    return docs.join(out, same, "left_anti")
+    out = found.filter("not kept").select("id", "key", "host").distinct()
+    rows = docs.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("text_key"), F.coalesce("source", F.lit("")).alias("source"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")) & (F.col("source") == F.col("host"))
+    return rows.join(out, same, "left_anti").select("given.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
