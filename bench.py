@@ -22,7 +22,8 @@ RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 HEADLINE = [
     "d18_decisions", "j01_list_invoices", "j03_review_queue", "j06_stale_parses", "st1_first_events", "st2_admit_work",
-    "a12_line_item_prf", "s06_upsert_latest", "a05_profile_pages",
+    "a12_line_item_prf", "s06_upsert_latest", "a05_profile_pages", "j08_match_ap_context", "n01_normalize_invoices", "v5_blocking_failures",
+    "r12_compare_fields", "w06_build_lines",
 ]
 
 

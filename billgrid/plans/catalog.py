@@ -78,15 +78,6 @@ def d20_audit(spark, sf):
     )
 
 
-def _check_query(name: str):
-    def run(spark, sf):
-        return decide.with_checks(_hydrated(spark, sf)).groupBy(F.col(f"chk_{name}.status").alias("status"), F.col(f"chk_{name}.summary").alias("summary")).agg(
-            F.count("*").alias("n")
-        )
-
-    return run
-
-
 _OK = "CASE WHEN ap_id IS NOT NULL THEN 1 END"
 #: per-check SQL over every invoice, whether or not the cascade would reach the check
 _STATUS = {
@@ -439,7 +430,10 @@ def a05(spark, sf):
     return p.select("doc_id", "page", "word_count", "visible_char_count", (F.col("route") == "local_ocr").alias("unusable"))
 
 
-@query("a06_document_route")
+@query("a06_document_route", f"""WITH {_TOKENS},
+    r AS (SELECT doc_id, CASE WHEN chars = 0 OR visible < 8 OR word_count < 3 THEN 'local_ocr' WHEN word_count < 20 THEN 'hybrid' ELSE 'native_text' END AS route FROM facts JOIN chars USING (doc_id, page)),
+    d AS (SELECT CASE WHEN bool_and(route = 'native_text') THEN 'native_text' WHEN bool_and(route = 'local_ocr') THEN 'local_ocr' ELSE 'hybrid' END AS route FROM r GROUP BY doc_id)
+    SELECT route, COUNT(*) AS n FROM d GROUP BY route""")
 def a06(spark, sf):
     p = profile.profile_pages(fx.doc_words(spark, sf), fx.doc_pages(spark, sf))
     return evaluate.value_counts(profile.document_route(p), "route")
@@ -457,25 +451,37 @@ def f39(spark, sf):
     return profile.document_text(pages)
 
 
-@query("p22_pages_mention", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE lower(text) LIKE '%invoice%' OR " + " OR ".join(f"contains(lower(text), '{p}')" for p in lx.TAX_LABELS))
+def _says(phrases) -> str:
+    """SQL: the lower-case page text ``low`` holds one of the phrases."""
+    return "(" + " OR ".join("contains(low, '{}')".format(p.lower().replace("'", "''")) for p in phrases) + ")"
+
+
+_PAGE_TEXTS = """pages AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(floor((n - 1) / 60) + 1 AS INT) AS page, lower(string_agg(line, chr(10) ORDER BY n)) AS low FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) GROUP BY 1, 2),
+ends AS (SELECT doc_id, min(page) AS a, max(page) AS b FROM pages GROUP BY 1)"""
+_SOUGHT = ("tax", "terms", "due_date", "line_items")
+
+
+@query("p22_pages_mention", f"WITH {_PAGE_TEXTS} " + " UNION ".join(
+    f"SELECT doc_id, '{k}' AS field FROM pages WHERE {_says(lx.LINE_ITEM_MENTIONS if k == 'line_items' else lx.FIELD_LABELS.get(k, (k.replace('_', ' '),)))}" for k in (*lx.FIELD_KEYS, "line_items")))
 def p22(spark, sf):
-    pages = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return pages.filter(grid.mentions(F.col("text"), "tax") | F.lower("text").contains("invoice")).select("doc_id")
+    return grid.pages_mention(fx.doc_page_texts(spark, sf))
 
 
-@query("w11_important_pages", f"""WITH {_TOKENS}, r AS (SELECT DISTINCT doc_id, page FROM pg), e AS (SELECT doc_id, min(page) a, max(page) b FROM r GROUP BY 1)
-    SELECT r.doc_id, r.page, ROW_NUMBER() OVER (PARTITION BY r.doc_id ORDER BY CASE WHEN page = a THEN 1 WHEN page = b THEN 2 ELSE 3 END, page) AS position FROM r JOIN e USING (doc_id)""")
+@query("w11_important_pages", f"""WITH {_PAGE_TEXTS} SELECT doc_id, page, ROW_NUMBER() OVER (PARTITION BY doc_id
+    ORDER BY CASE WHEN {_says((*lx.FIELD_LABELS["tax"], *lx.FIELD_LABELS["due_date"]))} THEN 0 WHEN page = a THEN 1 WHEN page = b THEN 2 ELSE 3 END, page) AS position FROM pages JOIN ends USING (doc_id)""")
 def w11(spark, sf):
-    pages = fx.doc_pages(spark, sf).withColumn("text", F.lit(""))
-    targets = pages.select("doc_id").distinct().withColumn("targets", F.array(F.lit("tax")))
+    pages = fx.doc_page_texts(spark, sf)
+    targets = pages.select("doc_id").distinct().withColumn("targets", F.array(F.lit("tax"), F.lit("due_date")))
     return profile.important_pages(pages, targets).select("doc_id", "page", "position")
 
 
-@query("w05_likely_region", f"""WITH {_TOKENS}, e AS (SELECT doc_id, min(page) a, max(page) b FROM pg GROUP BY 1)
-    SELECT doc_id, 'tax' AS field, b AS page, 316.8 AS top FROM e UNION ALL SELECT doc_id, 'terms', a, 0.0 FROM e""")
+@query("w05_likely_region", f"WITH {_PAGE_TEXTS} " + " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS field, COALESCE({'max' if k in lx.BOTTOM_FIELDS else 'min'}(page) FILTER (WHERE {_says(lx.REGION_HINTS.get(k, (k.replace('_', ' '),)))}), {'max' if k in lx.BOTTOM_FIELDS else 'min'}(page)) AS page, "
+    f"{316.8 if k in lx.BOTTOM_FIELDS else 95.04 if k == 'line_items' else 0.0} AS top FROM pages GROUP BY doc_id" for k in _SOUGHT))
 def w05(spark, sf):
-    pages = fx.doc_pages(spark, sf).withColumn("text", F.lit(""))
-    targets = pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit("tax"), F.lit("terms"))).alias("field"))
+    pages = fx.doc_page_texts(spark, sf)
+    targets = pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, _SOUGHT))).alias("field"))
     return profile.likely_region(targets, pages).select("doc_id", "field", "page", F.round(F.get("bbox", 1), 2).alias("top"))
 
 

@@ -302,6 +302,15 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     ).select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), "char_count")
 
 
+def doc_page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`doc_pages` with the text of each page: its 60 lines at most, in order."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.groupBy("doc_id", (F.floor(F.col("n") / 60) + 1).cast("int").alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l")
+    ).select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.array_join("l.line", "\n").alias("text"))
+
+
 def events_in(spark: SparkSession, sf: str) -> DataFrame:
     """Notifications: account from the user, key from type and hour; every 9th user unknown."""
     return table(spark, sf, "events").select(
