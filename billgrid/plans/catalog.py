@@ -1197,3 +1197,66 @@ def x13(spark, sf):
     inv, ext = _contract(spark, sf)
     parsed = inv.select("doc_id", F.lit("needs_review").alias("status"), F.array().cast("array<string>").alias("warnings"))
     return merge.promote_extractions(parsed, ext, "external").select("doc_id", "status", "promoted")
+
+
+# --- operators that other queries only use -----------------------------------------------
+
+
+@query("p20_weak_geometry", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.85 THEN 'weak_geometry' ELSE '' END AS reasons FROM lineitem")
+def p20(spark, sf):
+    weak = candidates.weak_geometry(F.col("l_discount").cast("double") * 10)
+    return fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", joined(weak).alias("reasons"))
+
+
+@query("u4_key_diff", """SELECT l_orderkey, list_aggregate(list_sort(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(h, x))), 'string_agg', ',') AS missing,
+    list_aggregate(list_sort(list_filter(h, lambda x: NOT list_contains(['A', 'N', 'R'], x))), 'string_agg', ',') AS extra
+    FROM (SELECT l_orderkey, list(DISTINCT CASE WHEN l_linenumber = 5 THEN 'line5' ELSE l_returnflag END) AS h FROM lineitem GROUP BY 1)""")
+def u4(spark, sf):
+    flag = F.when(F.col("l_linenumber") == 5, "line5").otherwise(F.col("l_returnflag"))
+    have = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.map_from_entries(F.transform(F.collect_set(flag), lambda k: F.struct(k, F.lit(1)))).alias("h"))
+    diff = have.select("l_orderkey", merge.key_diff(F.col("h"), ["A", "N", "R"]).alias("d"))
+    return diff.select("l_orderkey", F.nullif(joined(F.col("d.missing")), F.lit("")).alias("missing"), F.nullif(joined(F.col("d.extra")), F.lit("")).alias("extra"))
+
+
+@query("x15_record_source_failure", """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'old,second unavailable: ' || 'timeout' WHEN o_orderkey % 3 = 1 THEN 'second unavailable: timeout' ELSE 'second unavailable: timeout,old' END AS warnings,
+    true AS attempted, false AS promoted FROM orders""")
+def x15(spark, sf):
+    k, said = F.col("o_orderkey"), "second unavailable: timeout"
+    before = F.when(k % 3 == 0, F.array(F.lit("old"))).when(k % 3 == 1, F.array(F.lit(said))).otherwise(F.array(F.lit(said), F.lit("old")))
+    docs = fx.table(spark, sf, "orders").select(k.alias("doc_id"), before.alias("warnings"))
+    out = merge.record_source_failure(docs, "timeout", "second", "failed")
+    return out.select("doc_id", joined(F.col("warnings")).alias("warnings"), "second_source.attempted", "second_source.promoted")
+
+
+@query("a29_merge_summary", """WITH b AS (SELECT l_orderkey AS doc_id, list_sort(list(DISTINCT 's' || l_suppkey % 7)) AS m, list_sort(list(DISTINCT 's' || l_suppkey % 7) FILTER (WHERE l_quantity > 25)) AS n,
+    list_sort(list(DISTINCT l_returnflag) FILTER (WHERE l_linenumber > 2)) AS f FROM lineitem GROUP BY 1)
+    SELECT doc_id, CASE WHEN len(m) > 0 THEN 'missing_required_fields' ELSE 'unresolved_fields' END AS trigger, array_to_string(list_filter(m, lambda x: NOT list_contains(COALESCE(n, []), x)), ',') AS recovered,
+      COALESCE(array_to_string(f, ','), '') AS applied FROM b""")
+def a29(spark, sf):
+    li = fx.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "doc_id").withColumn("mode", F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")))
+    before = li.groupBy("doc_id").agg(F.sort_array(F.collect_set("mode")).alias("missing"))
+    after = li.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("l_quantity") > 25, F.col("mode")))).alias("missing"))
+    merged = li.select("doc_id", F.col("l_returnflag").alias("field"), (F.col("l_linenumber") > 2).alias("applied"))
+    return merge.merge_summary(before, after, merged).select("doc_id", "trigger", joined(F.col("recovered")).alias("recovered"), joined(F.col("applied_fields")).alias("applied"))
+
+
+@query("p21_line_items_need_review", """SELECT l_orderkey AS doc_id, bool_or(l_discount * 10 < 0.85 OR l_tax * 12 < 0.85 AND l_tax > 0.02 OR l_linenumber = 6) AS needs_review FROM lineitem GROUP BY 1""")
+def p21(spark, sf):
+    c = F.col
+    role = lambda conf, reasons: F.struct(conf.cast("double").alias("confidence"), reasons.cast("array<string>").alias("ambiguity_reasons"))
+    none = F.array().cast("array<string>")
+    items = fx.table(spark, sf, "lineitem").select(
+        c("l_orderkey").alias("doc_id"), role(c("l_discount") * 10, none).alias("description"), F.when(c("l_tax") > 0.02, role(c("l_tax") * 12, none)).alias("quantity"),
+        role(F.lit(0.99), F.when(c("l_linenumber") == 6, F.array(F.lit("multiple_amounts"))).otherwise(none)).alias("unit_price"), role(F.lit(1.0), none).alias("amount"))
+    return extract.line_items_need_review(items)
+
+
+@query("j17_calibrate_confidence", """WITH w AS (SELECT l_orderkey AS doc_id, round(1 - l_discount * 4, 2) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(1 - l_discount * 4, 2)) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n
+    FROM lineitem WHERE l_linenumber <= 5) SELECT doc_id, round(c, 3)::DOUBLE AS word_confidence FROM w WHERE r = round_even((n - 1) * 0.2, 0) + 1""")
+def j17(spark, sf):
+    c = F.col
+    li = fx.table(spark, sf, "lineitem")
+    words = li.select(c("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.round(1 - c("l_discount") * 4, 2).cast("double").alias("confidence"), (c("l_linenumber") * 10.0).alias("x0"), (c("l_linenumber") * 10.0 + 4).alias("x1"), F.lit(0.0).alias("top"), F.lit(8.0).alias("bottom"))
+    fields = li.select(c("l_orderkey").cast("string").alias("doc_id")).distinct().select("doc_id", F.lit("total").alias("field"), F.lit(1).alias("page"), F.array(F.lit(0.0), F.lit(0.0), F.lit(55.0), F.lit(9.0)).alias("bbox"), F.lit(0.99).alias("confidence"), F.lit("second").alias("method"), F.array().cast("array<string>").alias("ambiguity_reasons"))
+    out = grid.calibrate_confidence(fields, words)
+    return out.filter("word_confidence is not null").select(c("doc_id").cast("long").alias("doc_id"), "word_confidence")

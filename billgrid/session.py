@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,22 @@ def work_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside live until its end: for jobs that run again and again."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -56,6 +73,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([work_dir(spark), *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billgrid import schemas
 from billgrid.operators import decide, extract, match, normalize
+from billgrid.session import scratch
 from billgrid.streaming.events import admit_work
 
 
@@ -25,31 +27,39 @@ def run_stream(spark: SparkSession, words_path: str, ap: DataFrame, owners: Data
     """ST10: decide every document of newly arrived word files.
 
     A document's words must arrive in one file set. Each micro-batch writes its own folder,
-    named by the batch, so a replayed batch overwrites itself; readers take the latest row per
-    document (``sinks.upsert_latest`` with ``batch``).
+    named by the batch, so a replayed batch overwrites itself; :func:`latest_decisions` reads the
+    newest row of each document. Intermediate tables go with the batch.
     """
     stream = spark.readStream.schema(schemas.WORD).parquet(words_path)
 
     def one(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        result = decide_words(batch, owners, ap).withColumn("batch", F.lit(batch_id))
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        with scratch(spark):
+            decide_words(batch, owners, ap).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str) -> StreamingQuery:
+def latest_decisions(spark: SparkSession, out: str) -> DataFrame:
+    """ST10: the newest decision of every document that :func:`run_stream` has written."""
+    rows = spark.read.parquet(out)
+    value = F.struct(*[c for c in rows.columns if c not in ("doc_id", "batch")])
+    return rows.groupBy("doc_id").agg(F.max_by(value, "batch").alias("v")).select("doc_id", "v.*")
+
+
+def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str, live: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """ST2 as a sink: durable keys live in a table that grows by one folder per batch.
 
     State stays in the table instead of the operator, so it may grow without bound and is read
-    with an anti-join on the key.
+    with an anti-join on the key. ``live`` gives the keys (unique_key) active now; it is asked once
+    a batch, so work that waits for its live twin enters with a later batch.
     """
     spark = stream.sparkSession
 
     def one(batch: DataFrame, batch_id: int) -> None:
         earlier = spark.read.schema("unique_key string, batch long").option("recursiveFileLookup", "true").parquet(known_path).filter(F.col("batch") < batch_id)
-        fresh = admit_work(batch, earlier, earlier.limit(0))
+        fresh = admit_work(batch, earlier, live() if live else earlier.limit(0))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
         written = spark.read.parquet(f"{out}/batch={batch_id:09d}")
         written.select("unique_key", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(

@@ -126,10 +126,11 @@ def route_by_subscription(events: DataFrame, accounts: DataFrame) -> DataFrame:
 def notification_outcomes(routed: DataFrame) -> DataFrame:
     """Accepted, duplicate or rejected, per notification of one batch."""
     dup_key = ["account_id", "event_key"]
-    firsts = routed.filter("rejected is null").groupBy(*dup_key).agg(F.min("id").alias("_first"))
-    return routed.join(firsts, dup_key, "left").withColumn(
-        "outcome", F.when(F.col("rejected").isNotNull(), "rejected").when(F.col("id") == F.col("_first"), "accepted").otherwise("duplicate")
-    ).drop("_first")
+    routable = routed.filter("rejected is null")
+    firsts = routable.groupBy(*dup_key).agg(F.min("id").alias("_first"))
+    met = routable.join(firsts, dup_key, "left").withColumn("outcome", F.when(F.col("id") == F.col("_first"), "accepted").otherwise("duplicate"))
+    # rejected rows have no key: joined, all of them would meet in one task
+    return met.drop("_first").unionByName(routed.filter("rejected is not null").withColumn("outcome", F.lit("rejected")))
 
 
 def notification_counts(outcomes: DataFrame) -> DataFrame:
