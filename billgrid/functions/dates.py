@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from billgrid.functions import lexicon as lx
 from billgrid.functions.text import let, null_if_empty, strip_ws, text_or_empty
 
-_MONTH_NAME = (
-    r"\b(?:(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{2,4})|([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{2,4}))\b"
-)
-_SEPARATED = r"\b(\d{1,4})[./-](\d{1,2})[./-](\d{1,4})\b"
-_COMPACT = r"\b(\d{8}|\d{6})\b"
-_SHORT_SEPARATED = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})\b"
+_MONTH_NAME, _SEPARATED, _COMPACT, _SHORT_SEPARATED = lx.MONTH_NAME_DATE, lx.SEPARATED_DATE, lx.COMPACT_DATE, lx.SHORT_SEPARATED_DATE
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:

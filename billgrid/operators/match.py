@@ -153,7 +153,7 @@ def best_ap_candidate(cands: DataFrame, keys, vendor: str, newest: int | None =
 
 # --- N4, J11: context of a matched record ----------------------------------------------
 
-MISSING_REASON = "No accounts payable context record matched the invoice."
+MISSING_REASON = lx.NO_CONTEXT_MATCHED
 
 
 def hydrate_context(inv: DataFrame, matches: DataFrame, ap: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def hydrate_context(inv: DataFrame, matches: DataFrame, ap: DataFrame) -> DataFr
     )
 
 
-def missing_context(inv: DataFrame, reason: str = "Procurement context was not provided.") -> DataFrame:
+def missing_context(inv: DataFrame, reason: str = lx.NO_CONTEXT_GIVEN) -> DataFrame:
     """Invoices decided without any procurement data."""
     return (
         inv.withColumn("context", F.lit(None).cast(CONTEXT))
