@@ -40,7 +40,7 @@ def _katz(rows, trained):
                    sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w))) for r, w, train in zip(rows, toks, trained))
 
 
-@pytest.mark.parametrize("settings", [{}, {"LOCAL": 2, "PAIR_SHARE": 50, "CHUNK": 500, "BUCKET": 2000, "FREQUENT": 12, "PAIRS": 7}])
+@pytest.mark.parametrize("settings", [{}, {"LOCAL": 2, "SAMPLED": 2, "PAIR_SHARE": 50, "CHUNK": 500, "BUCKET": 2000, "FREQUENT": 12, "PAIRS": 7}])
 def test_katz_equals_the_model_token_by_token(spark, odd, odd_rows, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(katz, name, value)
