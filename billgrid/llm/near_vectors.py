@@ -13,43 +13,94 @@ from pyspark.sql import functions as F
 from billgrid.llm import common
 
 COSINE, TABLES, KEY_BITS, ROUNDS, FIT_ROWS = 0.9, 8, 16, 50, 10_000
+#: Least chance that some table retrieves a pair at the threshold, on each kind of near pair a fit is tried on.
+RECALL, PAIRS = 0.97, 4000
 #: Members of one class in one bucket from which on the bucket is dealt out in blocks.
 HOT = 4096
 #: Pairs whose codes are compared in one numpy step.
 CELLS = 500_000
 
 
+def _near_pairs(x: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold, by kind: made from unit vectors ``x`` and differences of two others, made
+    with noise in all directions, and found in ``x`` itself (where there are enough to count)."""
+    kinds = []
+    at = rng.integers(0, len(x), PAIRS)
+    for noise in (x[rng.integers(0, len(x), PAIRS)] - x[rng.integers(0, len(x), PAIRS)], rng.normal(size=(PAIRS, x.shape[1]))):
+        a = x[at]
+        noise = noise - (noise * a).sum(1, keepdims=True) * a
+        size = np.linalg.norm(noise, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6
+        if some.sum() >= PAIRS // 2:
+            kinds.append((a[some], COSINE * a[some] + math.sqrt(1 - COSINE**2) * noise[some] / size[some]))
+    left, right = [], []
+    some = x[rng.permutation(len(x))]
+    for start in range(0, len(some), 500):
+        i, j = np.nonzero(np.abs(some[start : start + 500] @ some.T - COSINE - 0.01) <= 0.01)
+        i, j = i[i + start < j], j[i + start < j]
+        left.append(some[start + i])
+        right.append(some[j])
+        if sum(map(len, left)) >= PAIRS:
+            break
+    if sum(map(len, left)) >= 100:
+        left, right = np.concatenate(left), np.concatenate(right)
+        pick = rng.permutation(len(left))[:PAIRS]
+        kinds.append((left[pick], right[pick]))
+    return kinds
+
+
 class Codes:
-    """Rotations of one vector length: ``rotations`` x ``bits`` sign bits, in tables of ``key_bits``."""
+    """Rotations of one vector length: ``rotations`` x ``bits`` sign bits, in tables of ``key_bits``.
+
+    There are at least ``tables`` of them, and as many more as it takes to retrieve a share of RECALL of
+    each kind of near pair: wider keys and vectors with a large mean need more. The radius follows from
+    the bits in which the same pairs differ.
+    """
 
     def __init__(self, sample: np.ndarray, n: int, tables: int = TABLES, rounds: int = ROUNDS, seed: int = 7) -> None:
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        held = x
+        if 100 <= len(x) < n:  # vectors that a rotation was fitted to lie nearer its corners than others do
+            held, x = x[::4], np.delete(x, np.s_[::4], 0)
         dim = x.shape[1]
         self.bits = min(dim, 64)
         self.key_bits = min(self.bits, max(KEY_BITS, math.ceil(math.log2(max(n, 2)))))  # buckets grow with the vectors
         self.per_rotation = self.bits // self.key_bits
-        rotations = -(-tables // self.per_rotation)
-        self.tables = rotations * self.per_rotation
         self.mean = x.mean(0)
         axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1].T[::-1]  # principal axes, the widest first
         v = (x - self.mean) @ axes[: self.bits].T
         rng = np.random.default_rng(seed)
+        pairs = _near_pairs(held, np.random.default_rng(seed + 1)) if n > 1 else []
+        met, differing = [np.zeros(len(a), bool) for a, _ in pairs], [np.zeros(len(a), np.int64) for a, _ in pairs]
         self.maps = []
-        for _ in range(rotations):
+        mask, gained = np.uint64((1 << self.key_bits) - 1), True
+        while len(self.maps) * self.per_rotation < tables or any(m.mean() < RECALL for m in met):
             r = np.linalg.qr(rng.normal(size=(self.bits, self.bits)))[0]
-            for _ in range(rounds):  # nearest corners of the cube, then the rotation that brings them nearest
+            for _ in range(rounds if gained else 0):  # nearest corners of the cube, then the rotation that brings them nearest
                 u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
                 r = (u @ w).T
             self.maps.append(axes[: self.bits].T @ r)
+            before = sum(int(m.sum()) for m in met)
+            for k, (a, b) in enumerate(pairs):
+                diff = self._signs(a, self.maps[-1:])[:, 0] ^ self._signs(b, self.maps[-1:])[:, 0]
+                differing[k] += np.bitwise_count(diff)
+                for t in range(self.per_rotation):
+                    met[k] |= np.bitwise_count((diff >> np.uint64(t * self.key_bits)) & mask) <= 1
+            gained = sum(int(m.sum()) for m in met) > before  # a fit that repeats another is followed by one left to chance
+        self.tables = len(self.maps) * self.per_rotation
+        #: Share of each kind of near pair that some table retrieves.
+        self.recall = [float(m.mean()) for m in met]
         share = math.acos(COSINE) / math.pi
-        total = rotations * self.bits
+        total = len(self.maps) * self.bits
         #: Differing bits beyond which a pair at the threshold lies with a chance of a few in a million.
-        self.radius = math.ceil(total * share + 4.5 * math.sqrt(total * share * (1 - share)))
+        self.radius = math.ceil(max([total * share + 4.5 * math.sqrt(total * share * (1 - share)), *(d.mean() + 4.5 * d.std() for d in differing)]))
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
+    def _signs(self, x: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
         weights = np.uint64(1) << np.arange(self.bits, dtype=np.uint64)
-        return np.stack([np.where(x @ m > 0, weights, np.uint64(0)).sum(1, dtype=np.uint64) for m in self.maps], 1)
+        return np.stack([np.where((x - self.mean) @ m > 0, weights, np.uint64(0)).sum(1, dtype=np.uint64) for m in maps], 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._signs(x / np.linalg.norm(x, axis=1, keepdims=True), self.maps)
 
 
 def usable(embedding: Column) -> Column:

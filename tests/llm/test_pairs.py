@@ -56,6 +56,37 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch, hot):
     assert all(got[i].n_links == 0 for i in range(500, 506))
 
 
+def _pairs_at(rng, n, dim, mean, low=0.90, high=0.92):
+    """Vectors around a common mean, and one partner of each at a cosine of ``low`` to ``high``."""
+    x = rng.normal(size=(n, dim)) + mean * rng.normal(size=dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(n, dim))
+    u -= (u * x).sum(1, keepdims=True) * x
+    c = rng.uniform(low, high, (n, 1))
+    return x, c * x + np.sqrt(1 - c**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("key_bits", "mean"), [(16, 0), (20, 0), (22, 0), (24, 0), (16, 1), (20, 1)])
+def test_wide_keys_and_large_means_keep_the_recall(monkeypatch, key_bits, mean):
+    monkeypatch.setattr(near_vectors, "KEY_BITS", key_bits)
+    x, y = _pairs_at(np.random.default_rng(17), 3000, 64, mean)
+    codes = near_vectors.Codes(x[:2000], 3000, rounds=10)
+    assert codes.key_bits == key_bits
+    diff = codes(x[2000:]) ^ codes(y[2000:])
+    mask = np.uint64((1 << key_bits) - 1)
+    met = np.any([np.bitwise_count((diff[:, t // codes.per_rotation] >> np.uint64(t % codes.per_rotation * key_bits)) & mask) <= 1 for t in range(codes.tables)], axis=0)
+    assert (met & (np.bitwise_count(diff).sum(1) <= codes.radius)).mean() >= 0.95
+
+
+def test_links_just_above_the_threshold_with_wide_keys(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "KEY_BITS", 24)
+    x, y = _pairs_at(np.random.default_rng(18), 300, 64, 0.5)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    links = len(_brute(rows))
+    found = sum(r.n_links for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) / 2
+    assert 300 <= links and 0.95 * links <= found <= links
+
+
 def test_repeated_and_null_ids_of_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.001]), (None, [0.0, 1.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in near_vectors.link(df).collect())
