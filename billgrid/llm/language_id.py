@@ -16,8 +16,9 @@ from billgrid.llm import common
 
 #: The class of texts in none of the languages; what a text without any evidence is called.
 OTHER, UNKNOWN = "other", "und"
-#: Labelled texts that the likelihoods are fitted on (about so many), and their lengths.
-FIT_ROWS, FIT_CHARS = 2000, (40, 50_000)
+#: Distinct labelled texts of each language that the likelihoods are fitted on at most, and
+#: their lengths; of a language without such texts, others, as far as the greater length.
+FIT_TEXTS, FIT_CHARS = 500, (40, 50_000)
 #: A text weighs as at most so many independent trigrams.
 WEIGHT = 200.0
 #: Prior documents at each level of the host hierarchy; prior chance of OTHER.
@@ -35,33 +36,62 @@ def _trigrams(raw: bytes) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(32 - 18)
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+def _sample(docs: DataFrame, texts: int) -> tuple[list[str], DataFrame | None]:
+    """All languages that label a text with a trigram, and lang, text of ``texts`` distinct texts of each.
+
+    The texts with the least hashes are taken, those of other lengths than FIT_CHARS only where a
+    language has none within. Languages are counted over all rows; copies count once. Texts stay on
+    executors until they are chosen.
+    """
+    lang = F.lower("lang")
+    labelled = docs.select("text", lang.alias("lang")).filter((F.trim(lang) != "") & (F.octet_length(F.btrim("text", F.lit(" \t\n\v\f\r"))) > 2))
+    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    keys = common.stored(labelled.groupBy("lang", "h").agg(F.max(F.char_length("text").between(*FIT_CHARS)).alias("usual")), "labelled-texts")
+    sizes: dict[str, dict[bool, int]] = {}
+    for r in keys.groupBy("lang", "usual").count().collect():  # two rows a language
+        sizes.setdefault(r.lang, {})[r.usual] = r["count"]
+    if not sizes:
+        return [], None
+    spark = docs.sparkSession
+    steps = [(k, max(v), max(1, v[max(v)] // (8 * texts))) for k, v in sorted(sizes.items())]
+    steps = F.broadcast(spark.createDataFrame(steps, "lang string, usual boolean, step long"))  # one row a language
+    some: dict[str, list[int]] = {}
+    for r in keys.join(steps, ["lang", "usual"]).filter(F.pmod("h", "step") == 0).select("lang", "h").collect():  # about 8 to 16 x texts a language at most
+        some.setdefault(r.lang, []).append(r.h)
+    chosen = [(k, h) for k, v in some.items() for h in sorted(v)[:texts]]
+    chosen = F.broadcast(spark.createDataFrame(chosen, "lang string, h long"))
+    found = labelled.join(chosen, ["lang", "h"]).select("lang", "h", F.left("text", F.lit(FIT_CHARS[1])).alias("text")).dropDuplicates(["lang", "h"])
+    return sorted(some), found.select("lang", "text")
+
+
+def fit(docs: DataFrame, texts: int = FIT_TEXTS) -> tuple[list[str], np.ndarray]:
     """(languages, log chances of hashed byte trigrams: one column a language, one for OTHER).
 
-    Fitted on a hash sample of about ``rows`` labelled texts (text, lang); a language needs five of
-    them. OTHER has independent bytes with the frequencies of all sampled texts.
+    The languages are those of all labelled rows (text, lang), however rare; blank labels are none. Each
+    is fitted on a hash sample of at most ``texts`` of its distinct texts. OTHER has independent bytes
+    with the frequencies of all sampled texts.
     """
-    labelled = docs.select("text", F.lower("lang").alias("lang")).filter(F.col("lang").isNotNull() & F.char_length("text").between(*FIT_CHARS))
-    n = labelled.count()
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows))) == 0).limit(2 * rows).collect()  # bounded by rows and FIT_CHARS
-    by: dict[str, list[bytes]] = {}
-    for r in sample:
-        by.setdefault(r.lang, []).append(r.text.encode())
-    by = {k: sorted(v) for k, v in sorted(by.items()) if len(v) >= 5}
-    table = np.zeros((_BUCKETS, len(by) + 1))
+    languages, sample = _sample(docs, texts)
+    table = np.zeros((_BUCKETS, len(languages) + 1), np.float32)
     single = np.ones(256)
-    for k, texts in enumerate(by.values()):
-        for raw in texts:
-            table[:, k] += np.bincount(_trigrams(raw), minlength=_BUCKETS)
+    at = {k: n for n, k in enumerate(languages)}
+    if sample is not None:
+        for r in common.stored(sample, "language-sample").toLocalIterator():  # bounded by languages, texts and FIT_CHARS
+            raw = r.text.encode()
+            table[:, at[r.lang]] += np.bincount(_trigrams(raw), minlength=_BUCKETS)
             single += np.bincount(_LOWER[np.frombuffer(raw, np.uint8)], minlength=256)
     single /= single.sum()
+    other = np.zeros(_BUCKETS)
     for first in range(256):
         codes = np.arange(first << 16, (first + 1) << 16, dtype=np.uint32)
         chance = single[first] * single[(codes >> 8) & 255] * single[codes & 255]
-        table[:, -1] += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(32 - 18), chance, _BUCKETS)
-    for k in range(len(by)):
-        table[:, k] = (table[:, k] + 0.5 * _BUCKETS * 0.1 * table[:, -1]) / (table[:, k].sum() + 0.05 * _BUCKETS)
-    return list(by), np.log(table + 1e-12).astype(np.float32)
+        other += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(32 - 18), chance, _BUCKETS)
+    for k in range(len(languages)):
+        seen = table[:, k].astype(np.float64)
+        unseen = min(0.05 * _BUCKETS, seen.sum())  # a small sample must not come out like OTHER
+        table[:, k] = np.log((seen + unseen * other) / (seen.sum() + unseen) + 1e-12)
+    table[:, -1] = np.log(other + 1e-12)
+    return languages, table
 
 
 def text_likelihood(raw: bytes, table: np.ndarray) -> tuple[int, np.ndarray]:

@@ -137,6 +137,24 @@ def test_language_evidence_is_fused(spark, odd, none):
     assert language_id.identify(language_id.evidence_of_documents(docs), *language_id.fit(none)).filter("kept").count() == 0
 
 
+def test_rare_languages_and_copies_keep_their_place(spark):
+    words = {"en": "the and of with that house", "el": "και το του με σπίτι ήταν", "ka": "და რომ სახლი იყო ეს არის", "nl": "het een van niet huis zijn"}
+    rows = [(k, sentences(k, 60, words["en"]), "EN", "s", 0) for k in range(3000)] + [(9000 + k, "one text in many copies " * 3, "en", "s", 0) for k in range(3000)]
+    rows += [(20_000 + k, sentences(k, 60, words["el"]), "el", "s", 0) for k in range(4)] + [(30_000, sentences(1, 60, words["ka"]), "ka", "s", 0), (40_000, "het huis van", "nl", "s", 0)]
+    rows += [(50_000, "zq jx vkw " * 60, " ", "s", 0), (50_001, " \n\t ", "xx", "s", 0), (50_002, None, "yy", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    languages, table = language_id.fit(docs)
+    assert languages == ["el", "en", "ka", "nl"] and table.shape[1] == 5
+    _, sample = language_id._sample(docs, 50)
+    texts = {}
+    for r in sample.collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    assert {k: len(v) for k, v in texts.items()} == {"el": 4, "en": 50, "ka": 1, "nl": 1} and all(len(set(v)) == len(v) for v in texts.values())
+    got = {r.id: r for r in language_id.identify(language_id.evidence_of_documents(docs), languages, table).collect()}
+    assert all(got[20_000 + k].lang == "el" and got[20_000 + k].kept for k in range(4)) and got[30_000].lang == "ka" and got[30_000].kept
+    assert not got[50_000].kept and all(got[k].lang == "en" for k in range(3000))
+
+
 _PLAIN = [(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
