@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, checks, common, katz, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts
+from billgrid.llm import byte_bpe, checks, common, katz, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts, word_bpe
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op4_katz, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix)}
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(common.read(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op4_katz, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix, op13_word_bpe)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS = checks.CHECKS
