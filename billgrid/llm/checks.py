@@ -46,4 +46,26 @@ with given(template, license, text) as (values {rows}),
 select d.doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, coalesce(matches, '') as matches from documents d left join found using (doc_id)"""
 
 
-CHECKS = {"op2_near_vectors": _NEAR_VECTORS, "op5_license_scan": _license_sql(), "op6_jaccard_join": _JACCARD}
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    nearest = """select v.vec_id, v.p, arg_min(b.j, (v.xx - 2 * list_inner_product(v.x, b.c) + b.cc, b.j)) as j, min(v.xx - 2 * list_inner_product(v.x, b.c) + b.cc) as d
+        from parts v join b{k} b on b.p = v.p group by v.vec_id, v.p"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""a{k} as materialized ({nearest.format(k=k)}),
+    m{k} as (select p, j, pos, floor(sum(x) / count(*)) as y from (select v.p, a.j, unnest(range(1, len(v.x) + 1)) as pos, unnest(v.x) as x from parts v join a{k} a on a.vec_id = v.vec_id and a.p = v.p) group by p, j, pos),
+    b{k + 1} as materialized (select p, j, c, list_inner_product(c, c) as cc from (select b.p, b.j, coalesce(n.c, b.c) as c from b{k} b left join (select p, j, list(y order by pos) as c from m{k} group by p, j) n on n.p = b.p and n.j = b.j))""")
+    return f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    cut as (select vec_id, p, e[p * (len(e) // {parts}) + 1 : (p + 1) * (len(e) // {parts})] as x from (select vec_id, e, unnest(range({parts})) as p from kept)),
+    parts as materialized (select vec_id, p, x, list_inner_product(x, x) as xx from cut),
+    b0 as materialized (select p, j, c, list_inner_product(c, c) as cc from (select p, row_number() over (partition by p order by vec_id) - 1 as j, x as c from parts) where j < {entries}),
+    {", ".join(steps)},
+    a{rounds} as materialized ({nearest.format(k=rounds)}),
+    coded as (select vec_id, string_agg(printf('%02x', j), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by vec_id),
+    sums as (select label, sum(error)::bigint as label_error from coded join kept using (vec_id) group by label),
+    digest as (select sha256(string_agg(x::bigint::varchar, ',' order by p, j, pos)) as codebooks_sha256 from (select p, j, unnest(range(len(c))) as pos, unnest(c) as x from b{rounds}))
+select vec_id, code, error, label_error, codebooks_sha256 from coded join kept using (vec_id) join sums on sums.label is not distinct from kept.label cross join digest"""
+
+
+CHECKS = {"op2_near_vectors": _NEAR_VECTORS, "op5_license_scan": _license_sql(), "op6_jaccard_join": _JACCARD, "op12_vector_codes": _vector_codes_sql()}
