@@ -68,4 +68,23 @@ with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(10
 select vec_id, code, error, label_error, codebooks_sha256 from coded join kept using (vec_id) join sums on sums.label is not distinct from kept.label cross join digest"""
 
 
-CHECKS = {"op2_near_vectors": _NEAR_VECTORS, "op5_license_scan": _license_sql(), "op6_jaccard_join": _JACCARD, "op12_vector_codes": _vector_codes_sql()}
+_IMPORTANCE = r"""
+with crc_step as (select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as step),
+    words as (select kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+        from (select 'given' as kind, doc_id as id, text from documents union all select 'target', null, text from benchmark)),
+    grams as (select kind, id, unnest(ws) as gram from words
+        union all select kind, id, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))) from words where len(ws) > 1
+        union all select kind, id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) from words where len(ws) > 2),
+    summed as materialized (select kind, id, gram, count(*) as n from grams group by all),
+    hashed as materialized (select gram, xor(list_reduce([4294967295] || list_transform(range(1, octet_length(encode(gram)) + 1), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i - 1, 2))::bigint), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+        from (select distinct gram from summed), crc_step),
+    counts as (select bucket, coalesce(sum(n) filter (kind = 'given'), 0)::double as s, coalesce(sum(n) filter (kind = 'target'), 0)::double as t from summed join hashed using (gram) group by bucket),
+    gains as (select bucket, floor(1000 * ln(((t + 1) * (sum(s) over () + 10000)) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from counts),
+    weights as (select id, sum(n * gain) as weight from summed join hashed using (gram) join gains using (bucket) where kind = 'given' group by id),
+    scored as (select id as doc_id, len(ws) as n_words, len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0) as n_features, coalesce(weight, 0)::bigint as weight,
+        (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint)::bigint as score from words left join weights using (id) where kind = 'given'),
+    ranked as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when place <= 5 * n // 100 then place end as rank from scored left join ranked using (doc_id)"""
+
+
+CHECKS = {"op2_near_vectors": _NEAR_VECTORS, "op5_license_scan": _license_sql(), "op6_jaccard_join": _JACCARD, "op11_importance": _IMPORTANCE, "op12_vector_codes": _vector_codes_sql()}

@@ -6,7 +6,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrid.llm import byte_bpe, checks, common, katz, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts, vector_codes, word_bpe
+from billgrid.llm import byte_bpe, checks, common, importance, katz, language_id, licenses, mixing, near_vectors, pii, set_join, simhash, token_counts, vector_codes, word_bpe
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = vector_codes.compress(common.read(spark, sf_dir, "embeddings"))
     return vector_codes.label_errors(found).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
@@ -70,6 +75,6 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(common.read(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op4_katz, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix, op12_vector_codes, op13_word_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_byte_bpe, op4_katz, op5_license_scan, op6_jaccard_join, op7_simhash, op8_language_id, op9_pii, op10_source_mix, op11_importance, op12_vector_codes, op13_word_bpe)}
 #: DuckDB SQL of the queries that SQL can express.
 CHECKS = checks.CHECKS
