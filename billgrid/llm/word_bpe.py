@@ -15,12 +15,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from billgrid.llm import common
 
 #: Bytes of text whose distinct words are encoded together.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 #: Chunks between white space after which a worker drops those that it has not met again (it holds
 #: twice as many at most), and their longest length in bytes.
 KEPT_CHUNKS, KEPT_BYTES = 200_000, 40
@@ -51,6 +52,14 @@ class WordBpe:
         self._special = {x["content"]: x["id"] for x in added}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if added else None
         self.text = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self._special.items()}
+        self._decimal, self._bytes = {i: str(i).encode() for i in self.text}, {i: t.encode() for i, t in self.text.items()}
+        #: how printable ASCII, which other normalizations leave alone, is split; unknown steps are the library's
+        self._plain = None
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            split, level = spec["pre_tokenizer"]["pretokenizers"]
+            if spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and split["behavior"] == "Removed" and split["invert"] and not (level["add_prefix_space"] or level["use_regex"]):
+                self._plain = regex.compile(split["pattern"]["Regex"])
         suffix, ids = model["end_of_word_suffix"], model["vocab"]
         #: (left, right, rank) of each merged token, and the rank of each pair
         self._parts: dict[int, tuple[int, int, int]] = {}
@@ -73,12 +82,19 @@ class WordBpe:
             bare = t[: -len(suffix)] if ends else t
             (self._ending if ends else self._inner)[bare] = i
             self._size[i] = len(bare)
-        self._longest = max(self._size.values(), default=1)
         self._edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._apart: dict[int, bool] = {}
         for table in (self._inner, self._ending):
             for text in [x for x, i in table.items() if not self._is_sound(i)]:
                 del table[text]
+        #: longest token that ends with three symbols
+        self._reach: list[dict[str, int]] = []
+        for table in (self._inner, self._ending):
+            reach: dict[str, int] = {}
+            for text in table:
+                if len(text) > 2:
+                    reach[text[-3:]] = max(len(text), reach.get(text[-3:], 0))
+            self._reach.append(reach)
         self._young: dict[bytes, tuple[int, bytes, bytes]] = {}
         self._old: dict[bytes, tuple[int, bytes, bytes]] = {}
         for text in ("It's a  test,\n\n don't  3\t45 Ünï x", *self._special):
@@ -120,56 +136,48 @@ class WordBpe:
         inside = self._parts.get(token)
         return inside is None or self._meeting(*inside[:2]) == (inside[2], True)
 
-    def _last(self, tail: str, table: dict[str, int], lasts: list[int], depth: int) -> int:
-        """Last token of a prefix of ``depth`` symbols that ends with ``tail``; ``lasts`` has those of
-        all shorter prefixes."""
-        apart = self._apart
-        for n in range(len(tail), 0, -1):
-            token = table.get(tail[-n:])
-            if token is None:
-                continue
-            if n == depth:
-                return token
-            pair = lasts[depth - n] << 32 | token
-            keeps = apart.get(pair)
-            if keeps is None:
-                if len(apart) > KEPT_PAIRS:
-                    apart.clear()
-                keeps = apart[pair] = self._stay_apart(lasts[depth - n], token)
-            if keeps:
-                return token
-        raise ValueError(f"no token for {tail[-1]!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word (not empty, its bytes written as the vocabulary's symbols)."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in word[:-1]:
-                below = node.get(symbol)
-                if below is None:
-                    below = node[symbol] = {}
-                node = below
-            node.setdefault("", []).append(word)
+        """Ids of each distinct word (not empty, its bytes written as the vocabulary's symbols).
+
+        Sorted words are the trie's depth-first order: what a word shares with the one before it is the
+        path that stays, and ``lasts[d]`` is the last token of the path's first d symbols.
+        """
         found: dict[str, list[int]] = {}
-        # lasts[d]: last token of the first d symbols on the way to the node in hand
-        stack, lasts, size, longest = [(root, 0, "")], [-1], self._size, self._longest
-        while stack:
-            node, depth, tail = stack.pop()
-            if depth:
-                del lasts[depth:]
-                lasts.append(self._last(tail, self._inner, lasts, depth))
-            for symbol, below in node.items():
-                if symbol:
-                    stack.append((below, depth + 1, (tail + symbol)[-longest:]))
-                    continue
-                for word in below:
-                    ids = [self._last((tail + word[-1])[-longest:], self._ending, lasts, depth + 1)]
-                    at = depth + 1 - size[ids[0]]
-                    while at:
-                        ids.append(lasts[at])
-                        at -= size[lasts[at]]
-                    found[word] = ids[::-1]
+        size, apart, (inside, last) = self._size, self._apart, zip((self._inner, self._ending), self._reach)
+        before, lasts = "", [-1]
+        for word in sorted(words):
+            end = len(word)
+            depth, most = 0, min(len(before), end) - 1
+            while depth < most and before[depth] == word[depth]:
+                depth += 1
+            del lasts[depth + 1 :]
+            while depth < end:
+                depth += 1
+                table, reach = inside if depth < end else last
+                for at in range(max(0, depth - reach.get(word[depth - 3 : depth], 2)) if depth > 2 else 0, depth):
+                    token = table.get(word[at:depth])
+                    if token is None:
+                        continue
+                    if not at:
+                        break
+                    pair = lasts[at] << 32 | token
+                    keeps = apart.get(pair)
+                    if keeps is None:
+                        if len(apart) > KEPT_PAIRS:
+                            apart.clear()
+                        keeps = apart[pair] = self._stay_apart(lasts[at], token)
+                    if keeps:
+                        break
+                else:
+                    raise ValueError(f"no token for {word[depth - 1]!r}")
+                lasts.append(token)
+            ids = [lasts.pop()]
+            at = end - size[ids[0]]
+            while at:
+                ids.append(lasts[at])
+                at -= size[lasts[at]]
+            ids.reverse()
+            found[word], before = ids, word
         return found
 
     def _split(self, chunks: Iterable[bytes]) -> dict[bytes, list[int | str]]:
@@ -179,6 +187,9 @@ class WordBpe:
         owners, parts = [], []
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
+            if self._plain is not None and text.isascii() and text.isprintable() and not (self._cut and self._cut.search(text)):
+                out[chunk] = self._plain.findall(text.lower())
+                continue
             found = out[chunk] = []
             for part in self._cut.split(text) if self._cut and self._cut.search(text) else (text,):
                 if part in self._special:
@@ -221,7 +232,7 @@ class WordBpe:
             if known is not None:
                 found[x] = known
         for chunk, ids in self.chunk_ids(chunks - found.keys()).items():
-            found[chunk] = len(ids), " ".join(map(str, ids)).encode(), " ".join(map(self.text.__getitem__, ids)).encode()
+            found[chunk] = len(ids), b" ".join([self._decimal[i] for i in ids]), b" ".join([self._bytes[i] for i in ids])
             if len(chunk) <= KEPT_BYTES:
                 self._young[chunk] = found[chunk]
         return found
