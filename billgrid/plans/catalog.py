@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,10 @@ from billgrid.plans import fixtures as fx
 from billgrid.plans import stored
 
 from billgrid.plans.checks_sql import DECIDE, ITEMS, MATCH, with_inv
-from billgrid.session import materialize
-from billgrid.sources import sinks
+from billgrid.session import materialize, work_dir
+from billgrid.sources import keyed, sinks
 from billgrid.sources import tables as readers
-from billgrid.streaming import events
+from billgrid.streaming import events, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,6 +798,75 @@ def st2(spark, sf):
     return events.admit_work(w, w.filter("seq % 5 = 0").select("unique_key").distinct(), w.filter("seq % 7 = 0").select("unique_key").distinct()).select("unique_key", "seq", "type")
 
 
+def _batches(spark, df, order, n=3):
+    """``df`` in ``n`` slices of growing ``order``, as it would arrive."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    step = ((hi or 0) - (lo or 0)) // n + 1
+    return [df.filter((c(order) >= (lo or 0) + k * step) & (c(order) < (lo or 0) + (k + 1) * step)) for k in range(n)]
+
+
+def _streamed(spark, batches, operator):
+    """Rows that ``operator`` gives of a stream on which the batches arrive one by one, with a restart each time."""
+    at = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{at}/in")
+        state.run_to_end(operator(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("st1_first_events_by_state", _EV + "SELECT account_id, event_key, MIN(id) AS id FROM ev GROUP BY account_id, event_key")
+def st1_by_state(spark, sf):
+    return _streamed(spark, _batches(spark, fx.events_in(spark, sf), "id"), state.first_by_state).select("account_id", "event_key", "id")
+
+
+_ENDED = _EV + """, w AS (SELECT event_key || ':' || COALESCE(CAST(account_id AS VARCHAR), '?') AS unique_key, id AS seq, CASE WHEN event_type = 'click' THEN 'parse_pdf' ELSE 'gmail_history_sync' END AS type, id % 4 = 0 AS done FROM ev),
+    e AS (SELECT *, COUNT(*) FILTER (done) OVER (PARTITION BY unique_key ORDER BY seq) AS ended FROM w)
+    SELECT unique_key, MIN(seq) AS seq, type FROM e WHERE NOT done GROUP BY unique_key, type, CASE WHEN type = 'parse_pdf' THEN 0 ELSE ended END"""
+
+
+@query("st2_admit_work_by_state", _ENDED)
+def st2_by_state(spark, sf):
+    w = _work(spark, sf).select("unique_key", "type", "seq", F.lit(None).cast("timestamp").alias("at"), (c("seq") % 4 == 0).alias("done"))
+    return _streamed(spark, _batches(spark, w, "seq"), state.admit_by_state).select("unique_key", "seq", "type")
+
+
+@query("st2_known_keys", _EV + """, w AS (SELECT event_key || ':' || COALESCE(CAST(account_id AS VARCHAR), '?') AS unique_key, id AS seq, event_type FROM ev WHERE event_type = 'click')
+    SELECT unique_key, MIN(seq) AS seq FROM w GROUP BY unique_key""")
+def st2_known(spark, sf):
+    log, out = keyed.KeyLog(spark, f"{work_dir(spark)}/known-{uuid.uuid4().hex}", 64, 2), None
+    for n, rows in enumerate(_batches(spark, _work(spark, sf).filter("type = 'parse_pdf'"), "seq", 4)):
+        fresh = materialize(events.admit_work(rows, log.known(rows, n), rows.limit(0)), "admitted")
+        log.add(fresh, n)
+        out = fresh if out is None else out.unionByName(fresh)
+    return out.select("unique_key", "seq")
+
+
+def _kept_by_key(spark, sf, upsert):
+    """A stored table of the even half of the orders, into which the odd half comes in three batches."""
+    base, upd = _halves(spark, sf)
+    base = base.select("id", "v", "s")
+    table = keyed.KeyedTable(spark, f"{work_dir(spark)}/keyed-{uuid.uuid4().hex}", base.schema, ["id"], 32)
+    for n, rows in enumerate([base, *_batches(spark, upd.select("id", "v", "s"), "v")]):
+        upsert(table, rows, n)
+        upsert(table, rows, n)  # replayed: nothing changes
+    return table.read()
+
+
+@query("s06_upsert_latest_stored", _HALVES + "SELECT id, COALESCE(u.v, t.v) AS v, CASE WHEN u.id IS NOT NULL THEN u.s ELSE t.s END AS s FROM t FULL JOIN u USING (id)")
+def s06_stored(spark, sf):
+    return _kept_by_key(spark, sf, lambda table, rows, n: table.upsert_latest(rows, "v", n))
+
+
+@query("s07_upsert_coalesce_stored", """WITH o AS (SELECT o_custkey AS id, o_orderkey AS v, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS s FROM orders),
+    b AS (SELECT *, MIN(v) FILTER (v % 2 = 1) OVER () AS lo, MAX(v) FILTER (v % 2 = 1) OVER () AS hi FROM o),
+    n AS (SELECT id, v, s, CASE WHEN v % 2 = 0 THEN -1 ELSE (v - lo) // ((hi - lo) // 3 + 1) END AS batch FROM b),
+    r AS (SELECT id, batch, MAX(v) AS v, arg_max(COALESCE(s, ''), v) AS s FROM n GROUP BY id, batch)
+    SELECT id, arg_max(v, batch) AS v, arg_max(s, batch) FILTER (s <> '') AS s FROM r GROUP BY id""")
+def s07_stored(spark, sf):
+    newest = lambda rows: rows.groupBy("id").agg(F.max_by(F.struct("v", "s"), "v").alias("r")).select("id", "r.*")
+    return _kept_by_key(spark, sf, lambda table, rows, n: table.upsert_coalesce(newest(rows), ["s"], n))
+
+
 @query("j12_route_by_email", stored.cte("accounts") + "SELECT event_id, x.id AS account_id FROM (SELECT event_id, 'USER' || user_id || '@EXAMPLE.com' AS email FROM events) e LEFT JOIN accounts x ON lower(x.email) = lower(e.email)")
 def j12(spark, sf):
     ev = fx.table(spark, sf, "events").select("event_id", F.concat(F.lit("USER"), c("user_id").cast("string"), F.lit("@EXAMPLE.com")).alias("email"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from billgrid import schemas
 from billgrid.operators import decide, extract, match, normalize
 from billgrid.session import scratch
+from billgrid.sources.keyed import BUCKET, BUCKETS, KeyedTable, KeyLog
 from billgrid.streaming.events import admit_work
 
 
@@ -23,12 +23,17 @@ def decide_words(words: DataFrame, owners: DataFrame, ap: DataFrame) -> DataFram
     return decide.decide(match.hydrate_context(inv, found, ap))
 
 
-def run_stream(spark: SparkSession, words_path: str, ap: DataFrame, owners: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """ST10: decide every document of newly arrived word files.
+def decisions_table(spark: SparkSession, out: str, like: DataFrame, buckets: int = BUCKETS) -> KeyedTable:
+    """ST10: the stored decisions, one row for each document, with the batch that made it."""
+    return KeyedTable(spark, out, like.withColumn("batch", F.lit(0).cast("long")).schema, ["doc_id"], buckets)
 
-    A document's words must arrive in one file set. Each micro-batch writes its own folder,
-    named by the batch, so a replayed batch overwrites itself; :func:`latest_decisions` reads the
-    newest row of each document. Intermediate tables go with the batch.
+
+def run_stream(spark: SparkSession, words_path: str, ap: DataFrame, owners: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """ST10: decide every document of newly arrived word files and upsert the decisions.
+
+    A document's words must arrive in one file set. A micro-batch reads and replaces only the
+    partitions of ``out`` into which its documents fall; replayed, it puts the same ones in place.
+    Intermediate tables go with the batch.
     """
     stream = spark.readStream.schema(schemas.WORD).parquet(words_path)
 
@@ -36,34 +41,34 @@ def run_stream(spark: SparkSession, words_path: str, ap: DataFrame, owners: Data
         if batch.isEmpty():
             return
         with scratch(spark):
-            decide_words(batch, owners, ap).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+            made = decide_words(batch, owners, ap)
+            decisions_table(spark, out, made, buckets).upsert_latest(made.withColumn("batch", F.lit(batch_id).cast("long")), "batch", batch_id)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_decisions(spark: SparkSession, out: str) -> DataFrame:
-    """ST10: the newest decision of every document that :func:`run_stream` has written."""
-    rows = spark.read.parquet(out)
-    value = F.struct(*[c for c in rows.columns if c not in ("doc_id", "batch")])
-    return rows.groupBy("doc_id").agg(F.max_by(value, "batch").alias("v")).select("doc_id", "v.*")
+    """ST10: the newest decision of every document: the stored state itself, no history is read."""
+    return spark.read.parquet(out).drop(BUCKET, "batch")
 
 
-def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str, live: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """ST2 as a sink: durable keys live in a table that grows by one folder per batch.
+def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str, live: Callable[[], DataFrame] | None = None, buckets: int = BUCKETS, most_parts: int = 16) -> StreamingQuery:
+    """ST2 as a sink: admitted keys live in a table (:class:`KeyLog`) of which a batch reads only the
+    buckets of its own keys.
 
-    State stays in the table instead of the operator, so it may grow without bound and is read
-    with an anti-join on the key. ``live`` gives the keys (unique_key) active now; it is asked once
-    a batch, so work that waits for its live twin enters with a later batch.
+    State stays in the table instead of the operator, so it may grow without bound. ``live`` gives the
+    keys (unique_key) active now; it is asked once a batch, so work that waits for its live twin
+    enters with a later batch. :func:`billgrid.streaming.state.admit_by_state` keeps the same
+    decisions as state of the stream.
     """
     spark = stream.sparkSession
+    keys = KeyLog(spark, known_path, buckets, most_parts)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        earlier = spark.read.schema("unique_key string, batch long").option("recursiveFileLookup", "true").parquet(known_path).filter(F.col("batch") < batch_id)
-        fresh = admit_work(batch, earlier, live() if live else earlier.limit(0))
+        known = keys.known(batch, batch_id)
+        fresh = admit_work(batch, known, live() if live else known.limit(0))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
         written = spark.read.parquet(f"{out}/batch={batch_id:09d}")
-        written.select("unique_key", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(
-            f"{known_path}/part-{batch_id:09d}-{uuid.uuid5(uuid.NAMESPACE_OID, str(batch_id)).hex}"
-        )
+        keys.add(written, batch_id)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
