@@ -19,7 +19,8 @@ from billgrid.operators.candidates import stage
 SAY = lx.DECISION_TEXTS
 
 CHECK = "struct<id:string,status:string,summary:string,evidence:string,context:string>"
-DEC = "decimal(12,2)"
+#: wider than stored amounts, so that sums and differences of them fit; what doesn't fit is unknown
+DEC = "decimal(20,2)"
 
 
 def _check(name: str, status: Column, summary: Column, evidence: Column, context: Column | None = None) -> Column:
@@ -67,7 +68,7 @@ def invoice_values() -> dict[str, Column]:
         "_vendor": F.coalesce(blank(F.col("vendor.normalized_name")), tx.normalize_vendor_name(F.col("vendor.name"))),
         "_buyer": F.coalesce(blank(F.col("buyer.normalized_name")), tx.normalize_vendor_name(F.col("buyer.name"))),
         "_po": F.coalesce(blank(F.col("purchase_order.normalized")), tx.normalize_purchase_order(F.col("purchase_order.value"))),
-        "_amount": F.col("amount_due.amount").cast(DEC),
+        "_amount": F.col("amount_due.amount").try_cast(DEC),
         "_currency": F.upper(F.trim(F.coalesce(blank(F.col("currency.value")), F.col("amount_due.currency"), F.lit("")))),
         "_currencies": F.array_sort(F.array_distinct(F.filter(F.concat(own, items), lambda c: c.isNotNull() & (c != "")))),
         "_want_number": tx.normalize_invoice_number(F.coalesce(blank(ci["normalized_invoice_number"]), ci["invoice_number"])),
@@ -101,7 +102,7 @@ def invoice_amount() -> Column:
 
 
 def _amount(key: str) -> Column:
-    return F.try_element_at("amounts", F.lit(key))["amount"].cast(DEC)
+    return F.try_element_at("amounts", F.lit(key))["amount"].try_cast(DEC)
 
 
 def invoice_currency() -> Column:
@@ -360,7 +361,7 @@ def po_next_action() -> Column:
 
 def d_composition() -> Column:
     """Signed discount here, unlike validation V2 which takes its absolute value."""
-    cent, zero = F.lit("0.01").cast(DEC), F.lit("0.00").cast(DEC)
+    cent, zero = F.lit("0.01").try_cast(DEC), F.lit("0.00").try_cast(DEC)
     subtotal, balance = _amount("subtotal"), invoice_amount()
     part = {k: F.coalesce(_amount(k), zero) for k in ("discount", "tax", "shipping", "paid")}
     expected = subtotal - part["discount"] + part["tax"] + part["shipping"] - part["paid"]
@@ -368,7 +369,7 @@ def d_composition() -> Column:
     wrong = []
     for k in lx.MONEY_KEYS:
         have = balance if k == "balance_due" else _amount(k)
-        want = F.try_element_at("context.amounts", F.lit(k)).cast(DEC)
+        want = F.try_element_at("context.amounts", F.lit(k)).try_cast(DEC)
         differs = want.isNotNull() & F.when(have.isNull(), want != 0).otherwise(F.abs(have - want) > cent)
         wrong.append(F.when(
             differs, F.struct(F.lit(k).alias("key"), F.struct(have.cast("string").alias("actual"), want.cast("string").alias("expected")).alias("value"))
@@ -391,7 +392,7 @@ def d_composition() -> Column:
         .otherwise(SAY["subtotal_discounts_aggregate_tax_shipping"]),
         _json(
             subtotal=subtotal.cast("string"), **{k: v.cast("string") for k, v in part.items()}, balance_due=balance.cast("string"),
-            calculated_balance=expected.cast(DEC).cast("string"), composition_variance=variance.cast(DEC).cast("string"),
+            calculated_balance=expected.try_cast(DEC).cast("string"), composition_variance=variance.try_cast(DEC).cast("string"),
             line_item_total=F.when(F.col("item_amounts") > 0, lines.cast("string")), line_item_variance=line_variance.cast("string"),
         ),
         _json(component_mismatches=F.map_from_entries(mismatches)),
@@ -400,7 +401,7 @@ def d_composition() -> Column:
 
 def d_partial() -> Column:
     po = F.col("context.purchase_order")
-    consumed = F.coalesce(po["previously_consumed"], F.lit(0).cast(DEC))
+    consumed = F.coalesce(po["previously_consumed"], F.lit(0).try_cast(DEC))
     remaining, amount = po["remaining_before_invoice"], invoice_amount()
     prior = F.coalesce(F.size("context.previous_invoices"), F.lit(0))
     none = (consumed <= 0) & (prior <= 0)
@@ -414,7 +415,7 @@ def d_partial() -> Column:
         .when(fits, SAY["invoice_amount_is_within_remaining"])
         .otherwise(SAY["invoice_amount_exceeds_remaining_po"]),
         check_evidence("amount_due", "purchase_order"),
-        _json(purchase_order=po, previous_invoice_count=prior, remaining_after_invoice=(remaining - amount).cast(DEC).cast("string")),
+        _json(purchase_order=po, previous_invoice_count=prior, remaining_after_invoice=(remaining - amount).try_cast(DEC).cast("string")),
     )
 
 
@@ -423,7 +424,7 @@ def d_amount() -> Column:
     expected = F.when(F.col("context.variance_amount").isNotNull(), po["authorized_total"]).otherwise(
         F.coalesce("context.invoice_total", po["authorized_total"])
     )
-    tolerance = F.coalesce("context.tolerance_policy.amount", F.lit(0).cast(DEC))
+    tolerance = F.coalesce("context.tolerance_policy.amount", F.lit(0).try_cast(DEC))
     amount = invoice_amount()
     variance = amount - expected
     unknown = amount.isNull() | expected.isNull()
@@ -435,7 +436,7 @@ def d_amount() -> Column:
         .when(F.abs(variance) <= tolerance, SAY["invoice_amount_variance_is_within"])
         .otherwise(SAY["invoice_amount_variance_exceeds_tolerance"]),
         check_evidence("amount_due"),
-        _json(expected_amount=expected.cast("string"), variance=variance.cast(DEC).cast("string"), tolerance_policy=F.col("context.tolerance_policy")),
+        _json(expected_amount=expected.cast("string"), variance=variance.try_cast(DEC).cast("string"), tolerance_policy=F.col("context.tolerance_policy")),
     )
 
 

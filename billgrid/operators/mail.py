@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from billgrid.functions import dates as dx
 from billgrid.functions import keys as kx
 from billgrid.functions import lexicon as lx
 from billgrid.functions.text import text_or_empty
+from billgrid.session import work_dir
 
 NONE = "cast(array() as array<string>)"
 
@@ -81,27 +80,27 @@ def pdf_rejection(encoded: Column, declared: Column, url_safe: bool, limit: int
     )
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _compiling(patterns: pd.Series) -> pd.Series:
-    def ok(p: str) -> bool:
-        try:
-            re.compile(p)
-        except re.error:
-            return False
-        return True
+def engine_pattern(p: Column) -> Column:
+    """A pattern as the engine that applies it writes it: named groups become plain ones (their numbers
+    stay), and the end of the text is the very end."""
+    p = F.regexp_replace(p, r"((?<!\\)(?:\\\\)*)\(\?P<[A-Za-z_]\w*>", "$1(")
+    return F.regexp_replace(p, r"((?<!\\)(?:\\\\)*)\\Z", r"$1\\z")
 
-    return patterns.map(lambda ps: None if ps is None else [p for p in ps if p is not None and ok(p)])
+
+def _compiles(p: Column) -> Column:
+    """Whether the engine that applies patterns, ignoring case, takes this one."""
+    return F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), engine_pattern(p))).isNotNull()
 
 
 def usable_patterns(settings: DataFrame) -> DataFrame:
-    """Settings with the patterns that are valid expressions, so that one owner's mistake does not
-    fail everybody's work. One small call per owner, not per message."""
-    return settings.withColumn("patterns", _compiling("patterns"))
+    """Settings with the patterns that the matching engine takes, in its own writing, so that one
+    owner's mistake does not fail everybody's work. Tested once per owner, not per message."""
+    return settings.withColumn("patterns", F.transform(F.filter("patterns", _compiles), engine_pattern))
 
 
 def bad_patterns(settings: DataFrame) -> DataFrame:
     """owner_user_id, pattern, reason of the patterns that :func:`usable_patterns` leaves out."""
-    bad = F.array_except(F.array_compact("patterns"), _compiling("patterns"))
+    bad = F.filter(F.array_compact("patterns"), lambda p: ~_compiles(p))
     return settings.select("owner_user_id", F.explode(bad).alias("pattern"), F.lit("invalid expression").alias("reason"))
 
 
@@ -114,12 +113,13 @@ def provider_attachments(att: DataFrame) -> DataFrame:
 def mime_parts(messages: DataFrame, payload: str = "payload", depth: int | None = None) -> DataFrame:
     """All MIME parts of nested JSON payloads, depth first: path, mime, filename, body.
 
-    One exploded level per step; the loop only builds the plan, the rows stay distributed. Without
-    ``depth`` there are as many levels as any payload can have: a level names its parts. A stream
-    must give it; deeper payloads then fail instead of losing parts.
+    Without ``depth`` the levels are exploded one after the other until one has no parts; each is
+    written to the shared folder and read once by the next, so the work follows the parts there are
+    and the plan is the same for any nesting. A stream must give ``depth``, which makes one plan of so
+    many levels; deeper payloads then fail instead of losing parts.
     """
     if depth is None:
-        depth = 1 + (messages.agg(F.max(F.regexp_count(payload, F.lit('"parts"')))).first()[0] or 0)
+        return _part_fields(_parts_by_level(messages, payload))
     level = messages.select("message_id", F.expr(NONE).alias("path"), F.col(payload).alias("part"))
     out = None
     for step in range(depth):
@@ -130,11 +130,34 @@ def mime_parts(messages: DataFrame, payload: str = "payload", depth: int | None
             cut = F.when(F.size(kids) > 0, F.raise_error(F.lit("parts below the given depth")).cast("string"))
             out = out.withColumn("part", F.coalesce(F.when(F.size("path") == step, cut), F.col("part")))
         # objects inside the array come back as their JSON text
-        level = here.select("message_id", "path", F.posexplode(kids).alias("i", "child")).select(
-            "message_id", F.concat("path", F.array(F.format_string("%04d", "i"))).alias("path"), F.col("child").alias("part")
-        )
+        level = _children(here)
+    return _part_fields(out)
+
+
+def _children(parts: DataFrame) -> DataFrame:
+    """The parts one level below, as their JSON text."""
+    kids = F.from_json(F.get_json_object("part", "$.parts"), "array<string>")
+    return parts.select("message_id", "path", F.posexplode(kids).alias("i", "child")).select(
+        "message_id", F.concat("path", F.array(F.format_string("%04d", "i"))).alias("path"), F.col("child").alias("part")
+    )
+
+
+def _parts_by_level(messages: DataFrame, payload: str) -> DataFrame:
+    spark = messages.sparkSession
+    at = f"{work_dir(spark)}/mime-parts-{uuid.uuid4().hex}"
+    level, depth = messages.select("message_id", F.expr(NONE).alias("path"), F.col(payload).alias("part")), 0
+    schema = level.schema
+    while True:
+        level.filter("part is not null").write.parquet(f"{at}/level={depth}")
+        level = spark.read.schema(schema).parquet(f"{at}/level={depth}")
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(at)
+        level, depth = _children(level), depth + 1
+
+
+def _part_fields(parts: DataFrame) -> DataFrame:
     g = lambda p: F.get_json_object("part", p)
-    return out.select(
+    return parts.select(
         "message_id", F.array_join("path", ".").alias("path"), g("$.mimeType").alias("mime_type"), g("$.filename").alias("filename"),
         g("$.body.attachmentId").alias("attachment_id"), g("$.body.data").alias("data"), g("$.body.size").alias("size"),
     )

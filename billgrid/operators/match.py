@@ -46,8 +46,8 @@ def _key(tier: int, sub: int, key: Column, question: Column | None = None) -> Co
 
 
 def _amount_key(kind: str, amount: Column, day: Column | None = None) -> Column:
-    parts = [F.lit(kind), amount.cast("decimal(12,2)").cast("string")]
-    return F.when(amount.isNotNull(), F.concat_ws("|", *parts, *([day.cast("string")] if day is not None else [])))
+    parts = [F.lit(kind), amount.try_cast("decimal(38,2)").cast("string")]
+    return F.when(amount.try_cast("decimal(38,2)").isNotNull(), F.concat_ws("|", *parts, *([day.cast("string")] if day is not None else [])))
 
 
 def match_ap_context(keys: DataFrame, ap: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ Documents come as rows with the document in ``d``; child tables are exploded, ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from billgrid.functions import lexicon as lx
 from billgrid.functions.dates import date_or_null
-from billgrid.sources.sinks import replace_batch
+from billgrid.session import materialize
 
 NONE = "cast(array() as array<string>)"
 
@@ -135,10 +135,33 @@ STAR = {
 }
 
 
+def star_rows(docs: DataFrame, batch_id: str) -> DataFrame:
+    """Rows of all tables of the star in one table: ``table``, ``batch_id`` and a struct for each
+    table, null but for the row's own. Each table also has a row without any, so that a batch which
+    leaves a table empty replaces its rows as well. The documents are stored once and read from there.
+    """
+    docs = materialize(docs, "manifest-documents")
+    built = {name: build(docs) for name, build in STAR.items()}
+    kinds = {name: df.schema.simpleString() for name, df in built.items()}
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()}
+    marks = docs.sparkSession.createDataFrame([(name,) for name in STAR], "table string").select("table", *none.values())
+    out = marks
+    for name, df in built.items():
+        out = out.unionByName(df.select(F.lit(name).alias("table"), *[F.struct(*df.columns).alias(name) if x == name else c for x, c in none.items()]))
+    return out.withColumn("batch_id", F.lit(batch_id))
+
+
 def write_truth_star(docs: DataFrame, path: str, batch_id: str) -> None:
-    """Every table of the star, this batch replaced."""
-    for name, build in STAR.items():
-        replace_batch(build(docs), f"{path}/{name}", batch_id)
+    """Every table of the star, this batch replaced, by one job that is committed as a whole: until
+    all its tasks have ended, the star is as it was."""
+    rows = star_rows(docs, batch_id).hint("rebalance", "table")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table", "batch_id").parquet(path)
+
+
+def read_truth_star(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the stored star, with the batch of each row."""
+    rows = spark.read.parquet(path).filter((F.col("table") == table) & F.col(table).isNotNull())
+    return rows.select(f"{table}.*", F.col("batch_id").cast("string").alias("batch_id"))
 
 
 def truth_summary(truth: DataFrame, items: DataFrame) -> DataFrame:

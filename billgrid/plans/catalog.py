@@ -1128,6 +1128,73 @@ def r08(spark, sf):
     return truth.truth_tags(_documents(spark, sf))
 
 
+def _star_documents(spark, sf):
+    """The documents with their line items, a table (but for every seventh) and one page for five lines."""
+    money = lambda n: F.struct(c(n).cast("string").alias("value"), F.lit(None).cast("string").alias("visible_value"), F.concat(F.lit("$"), c(n).cast("string")).alias("display"))
+    one = F.struct(c("line").cast("int").alias("line"), c("partkey").cast("string").alias("sku"), F.lit(None).cast("string").alias("hsn"), c("description").alias("name"), F.lit("").alias("description"),
+                   c("quantity").cast("string").alias("quantity"), F.concat(c("quantity").cast("string"), F.lit(" pcs")).alias("quantity_display"), money("unit_price").alias("unit_price"), money("amount").alias("amount"),
+                   F.struct(c("ship_date").cast("string").alias("value"), F.lit(None).cast("string").alias("display")).alias("service_date"))
+    items = fx.line_items(spark, sf).groupBy("k").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    docs = _documents(spark, sf).join(items, "k", "left").withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    k = c("k")
+    column = lambda name, numeric: F.struct(F.lit(name).alias("key"), F.upper(F.lit(name)).alias("label"), numeric.cast("boolean").alias("numeric"))
+    table = F.when(k % 7 != 0, F.struct(
+        F.when(k % 3 == 0, "grid").otherwise("plain").alias("variant"), F.array(column("name", F.lit(None)), F.when(k % 2 == 0, column("amount", F.lit(True)))).alias("columns"),
+        F.when(k % 2 == 0, True).alias("show_description"), F.lit("below").alias("total_placement"), F.when(k % 5 == 0, False).when(k % 5 == 1, True).alias("continued_across_pages")))
+    page = lambda i: F.struct(
+        F.when(k % 2 == 0, i + 11).otherwise(F.lit(0)).cast("int").alias("pdf_page_number"), (i + 1).cast("int").alias("document_page_number"), F.lit(None).cast("int").alias("document_page_count"), F.lit("x").alias("sample_id"),
+        F.transform(F.slice("items", i * 5 + 1, 5), lambda x: F.when(x["line"] != 2, x["line"])).alias("line_item_numbers"), F.when(i > 0, True).alias("table_continues_from_previous_page"), F.lit(None).cast("boolean").alias("table_continues_after_page"),
+        (F.size("items") <= i * 5 + 5).alias("renders_totals"), F.lit(None).cast("string").alias("total_placement"), F.lit(None).cast("boolean").alias("notes_near_table_bounds"),
+        F.array(F.struct(F.lit("table").alias("kind"), F.array((k % 50) / 4, F.lit(2.5), F.lit(100.0), F.lit(40.0)).alias("bbox_mm")), F.struct(F.lit(None).cast("string").alias("kind"), F.array(F.lit(1.0)).alias("bbox_mm"))).alias("components"))
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("items") / 5).cast("int") - 1, F.lit(0))), page)
+    return docs.withColumn("d", c("d").withField("line_items", c("items")).withField("table", table).withField("pages", pages)).drop("items")
+
+
+_LINES = """, l AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS document_id, l_linenumber AS line, COALESCE(p_name, 'item') AS name, CAST(l_quantity AS DECIMAL(12,4)) AS quantity, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, CAST(l_shipdate AS DATE) AS day,
+        ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR), l_extendedprice) AS i FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+    g AS (SELECT k, doc_id AS document_id, n_lines, UNNEST(range(GREATEST(CAST(ceil(n_lines / 5) AS BIGINT), 1))) AS page FROM inv)"""
+
+
+def _star_sql(select: str) -> str:
+    return with_inv("SELECT 1").rsplit("SELECT 1", 1)[0].rstrip() + _LINES + " " + select
+
+
+def _star_query(name: str, build, sql: str, *columns: str) -> None:
+    query(name, _star_sql(sql))(lambda spark, sf: build(_star_documents(spark, sf)).select(*columns))
+
+
+_PAGE_NUMBER = "CASE WHEN g.k % 2 = 0 THEN g.page + 11 ELSE g.page + 1 END"
+_R04 = "SELECT document_id, i AS line_item_index, line AS line_number, name AS item_name, quantity, amount AS amount_value, '$' || amount AS amount_display, day AS service_date FROM l"
+_R05 = "SELECT doc_id AS document_id, CASE WHEN k % 3 = 0 THEN 'grid' ELSE 'plain' END AS variant, k % 2 = 0 AS show_description, k % 5 = 1 AS continued_across_pages FROM inv WHERE k % 7 <> 0"
+_R06 = "SELECT doc_id AS document_id, 1 AS column_index, 'name' AS column_key, 'NAME' AS column_label, false AS is_numeric FROM inv WHERE k % 7 <> 0 UNION ALL SELECT doc_id, 2, 'amount', 'AMOUNT', true FROM inv WHERE k % 7 <> 0 AND k % 2 = 0"
+_R09 = f"SELECT document_id, {_PAGE_NUMBER} AS pdf_page_number, page + 1 AS document_page_number, page > 0 AS table_continues_from_previous_page, n_lines <= page * 5 + 5 AS renders_totals FROM g"
+_R10 = f"SELECT l.document_id, {_PAGE_NUMBER} AS pdf_page_number, (l.i - 1) % 5 + 1 AS line_item_index, l.line AS line_number FROM l JOIN g ON g.k = l.k AND g.page = (l.i - 1) // 5 WHERE l.line <> 2"
+_R11 = f"SELECT document_id, {_PAGE_NUMBER} AS pdf_page_number, 1 AS component_index, 'table' AS component_kind, CAST((k % 50) / 4 AS DECIMAL(10,2)) AS bbox_x_mm, CAST(2.5 AS DECIMAL(10,2)) AS bbox_y_mm FROM g UNION ALL SELECT document_id, {_PAGE_NUMBER}, 2, '', 1, NULL FROM g"
+_star_query("r04_truth_line_items", truth.truth_line_items, _R04, "document_id", "line_item_index", "line_number", "item_name", "quantity", "amount_value", "amount_display", "service_date")
+_star_query("r05_truth_tables", truth.truth_tables, _R05, "document_id", "variant", "show_description", "continued_across_pages")
+_star_query("r06_truth_table_columns", truth.truth_table_columns, _R06, "document_id", "column_index", "column_key", "column_label", "is_numeric")
+_star_query("r09_truth_pages", truth.truth_pages, _R09, "document_id", "pdf_page_number", "document_page_number", "table_continues_from_previous_page", "renders_totals")
+_star_query("r10_truth_page_items", truth.truth_page_items, _R10, "document_id", "pdf_page_number", "line_item_index", "line_number")
+_star_query("r11_truth_components", truth.truth_components, _R11, "document_id", "pdf_page_number", "component_index", "component_kind", "bbox_x_mm", "bbox_y_mm")
+
+_STAR_TABLES = {"labels": "SELECT doc_id AS document_id FROM inv, range(2)", "line_items": _R04, "tables": _R05, "table_columns": _R06, "pages": _R09, "page_items": _R10, "components": _R11,
+                "truth": "SELECT doc_id AS document_id FROM inv", "amounts": "SELECT doc_id AS document_id FROM inv, range(4)", "sample_ids": "SELECT doc_id AS document_id FROM inv, range(2)", "tags": "SELECT doc_id AS document_id FROM inv, range(2)"}
+
+
+@query("r14_truth_star", _star_sql("SELECT tab, batch, document_id, COUNT(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS tab, document_id FROM ({sql})" for name, sql in _STAR_TABLES.items()) + ") x JOIN (SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM inv WHERE k % 2 = 0 OR k % 3 = 0) b ON b.doc_id = x.document_id GROUP BY ALL"))
+def r14(spark, sf):
+    """Two batches, the second one written again with fewer documents."""
+    docs, path = _kept(spark, sf, "star-documents", lambda: _star_documents(spark, sf)), f"{work_dir(spark)}/star-{uuid.uuid4().hex}"
+    for batch, some in (("odd", "k % 2 = 1"), ("even", "k % 2 = 0"), ("odd", "k % 2 = 1 AND k % 3 = 0")):
+        truth.write_truth_star(docs.filter(some).drop("k"), path, batch)
+    out = None
+    for name in truth.STAR:
+        rows = truth.read_truth_star(spark, path, name).groupBy("document_id", "batch_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), c("batch_id").alias("batch"), "document_id", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("a02_truth_summary", with_inv("SELECT doc_id AS document_id, balance_due, n_lines AS line_item_count FROM inv"))
 def a02(spark, sf):
     items = fx.line_items(spark, sf).select(c("k").cast("string").alias("document_id"))

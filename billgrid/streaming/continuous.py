@@ -62,7 +62,7 @@ def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str,
     decisions as state of the stream.
     """
     spark = stream.sparkSession
-    keys = KeyLog(spark, known_path, buckets, most_parts)
+    keys = KeyLog(spark, f"{known_path}/keys", buckets, most_parts)
 
     def one(batch: DataFrame, batch_id: int) -> None:
         known = keys.known(batch, batch_id)

@@ -1,10 +1,11 @@
+import decimal
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from billgrid.functions import similarity
-from billgrid.operators import evaluate, fields, mail, queue
+from billgrid.operators import evaluate, fields, mail, queue, truth
 from billgrid.sources import sinks, tables
 
 
@@ -80,3 +81,54 @@ def test_pages_are_honoured_and_long_names_compared_whole(spark):
     long_ = "acme industrial supplies of the north " * 8
     df = spark.createDataFrame([(long_ + "ltd", long_ + "inc")], "a string, b string")
     assert df.select(similarity.text_similarity(F.col("a"), F.col("b")).alias("s")).first().s > 0.98
+
+
+def test_many_levels_and_siblings_make_one_plan(spark):
+    deep = {"mimeType": "text/plain", "filename": "x"}
+    for _ in range(40):
+        deep = {"mimeType": "multipart/mixed", "parts": [deep]}
+    wide = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "application/pdf", "filename": f"{k}.pdf"} for k in range(500)]}
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    messages = lambda *rows: spark.createDataFrame([(str(k), json.dumps(x)) for k, x in enumerate(rows)], "message_id string, payload string")
+    got = mail.mime_parts(messages(deep, wide))
+    assert got.count() == 41 + 501 and got.filter("path <> ''").agg(F.max(F.size(F.split("path", r"\.")))).first()[0] == 40
+    assert abs(size(got) - size(mail.mime_parts(messages({"mimeType": "text/plain"})))) < 200
+
+
+def test_patterns_are_tested_by_the_engine_that_applies_them(spark):
+    att = spark.createDataFrame([("a", "inv 7.pdf"), ("b", "bill"), ("c", "bill\n"), ("d", "x(?P<y>z")], "owner_user_id string, filename string")
+    settings = spark.createDataFrame([("a", ["(?P<n>inv)", "(?P=n)"]), ("b", [r"bill\Z", "x{2,1}"]), ("c", [r"bill\Z"]), ("d", [r"\(?P<y", None])], "owner_user_id string, patterns array<string>")
+    assert {r.owner_user_id for r in mail.filter_candidates(att, settings).collect()} == {"a", "b", "d"}
+    assert sorted((r.owner_user_id, r.pattern) for r in mail.bad_patterns(settings).collect()) == [("a", "(?P=n)"), ("b", "x{2,1}")]
+
+
+def _manifest(k: int, items: int) -> dict:
+    money = {"value": "1.50", "visible_value": "1.50", "display": "$1.50"}
+    return {"document_id": f"d{k}", "sample_ids": ["s"], "labels": {"a": "A"}, "amounts": {"subtotal": money}, "line_items": [{"line": i, "name": "n", "quantity": "2", "unit_price": money, "amount": money} for i in range(items)],
+            "table": {"variant": "grid", "columns": [{"key": "k", "label": "K"}]}, "pages": [{"line_item_numbers": [1], "components": [{"kind": "t", "bbox_mm": [1, 2]}]}], "challenge_tags": ["x", "x"]}
+
+
+def test_the_star_is_replaced_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "star")
+
+    def docs(name, *documents):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.manifest.json").write_text(json.dumps({"schema_version": 1, "documents": list(documents)}))
+        return tables.read_manifests(spark, str(folder))
+
+    count = lambda: {(n, b): truth.read_truth_star(spark, path, n).filter(F.col("batch_id") == b).count() for n in truth.STAR for b in ("1", "2")}
+    truth.write_truth_star(docs("one", _manifest(1, 3), _manifest(2, 1)), path, "1")
+    truth.write_truth_star(docs("two", _manifest(3, 2)), path, "2")
+    before = count()
+    assert before["line_items", "1"] == 4 and before["line_items", "2"] == 2 and before["tags", "1"] == 2 and before["components", "2"] == 1 and before["truth", "1"] == 2
+    assert truth.read_truth_star(spark, path, "line_items").columns[-1] == "batch_id"
+    with monkeypatch.context() as patched:  # fails inside the job that writes all tables
+        patched.setitem(truth.STAR, "tags", lambda d: truth.truth_tags(d).withColumn("challenge_tag", F.when(F.col("challenge_tag") == "x", F.raise_error(F.lit("broken in the middle")).cast("string"))))
+        with pytest.raises(Exception, match="broken in the middle"):
+            truth.write_truth_star(docs("three", _manifest(4, 5)), path, "1")
+    assert count() == before
+    truth.write_truth_star(docs("four", {"document_id": "d9", "labels": {}}), path, "1")  # tables without rows are emptied
+    after = count()
+    assert after["line_items", "1"] == 0 and after["truth", "1"] == 1 and {k: v for k, v in after.items() if k[1] == "2"} == {k: v for k, v in before.items() if k[1] == "2"}
+    assert [r.unit_price_value for r in truth.read_truth_star(spark, path, "line_items").collect()] == [decimal.Decimal("1.50")] * 2
