@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billgrid import schemas
 from billgrid.operators import decide, extract, match, normalize
-from billgrid.session import scratch
+from billgrid.session import materialize, scratch
+from billgrid.sources.cursors import known_cursors, read_feed
 from billgrid.sources.keyed import BUCKET, BUCKETS, KeyedTable, KeyLog
-from billgrid.streaming.events import admit_work
+from billgrid.streaming.events import admit_work, delta_to_messages, history_to_messages
 
 
 def decide_words(words: DataFrame, owners: DataFrame, ap: DataFrame) -> DataFrame:
@@ -72,3 +73,31 @@ def admit_stream(stream: DataFrame, known_path: str, out: str, checkpoint: str,
         keys.add(written, batch_id)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_history(spark: SparkSession, feed: str, out: str, checkpoint: str) -> StreamingQuery:
+    """ST3 over a stored feed: fetch work and rescans of each micro-batch under ``out``.
+
+    Cursors are the stream's offsets: a restart goes on where the checkpoint stands, accounts new to
+    it and cursors unknown to the feed are rescanned. A replayed batch overwrites its own folders.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            pages = materialize(batch, "pages")
+            work, cursors, rescans = history_to_messages(pages, known_cursors(pages))
+            for name, rows in (("work", work), ("cursors", cursors), ("rescans", rescans)):
+                rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
+
+    return read_feed(spark, feed).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_delta(spark: SparkSession, feed: str, out: str, checkpoint: str) -> StreamingQuery:
+    """ST4 over a stored feed: fetch work of each micro-batch; as :func:`sync_history`."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            work, _ = delta_to_messages(materialize(batch, "pages"))
+            work.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/work")
+
+    return read_feed(spark, feed).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import datetime
 import glob
+import json
 import os
 import shutil
 
@@ -138,3 +139,53 @@ def test_a_stored_table_replaces_only_what_a_batch_touches(spark, tmp_path):
     assert keyed.children(spark, f"{path}.staged") == ["batch=000000000003"]
     table.upsert_latest(spark.createDataFrame([], schema), "v", 4)
     assert {r.id: tuple(r) for r in table.read().collect()}[4] == (4, 11, "q")
+
+
+def _page(folder, account, since, cursor, **more):
+    os.makedirs(f"{folder}/account_id={account}", exist_ok=True)
+    n = len(os.listdir(f"{folder}/account_id={account}"))
+    with open(f"{folder}/account_id={account}/{n:06d}.jsonl", "w") as f:
+        f.write(json.dumps({"since": since, "cursor": cursor, **more}) + "\n")
+
+
+def test_a_feed_resumes_at_each_accounts_cursor(spark, tmp_path):
+    feed, out, ck = (str(tmp_path / d) for d in ("feed", "out", "ck"))
+    _page(feed, 1, None, 10)
+    _page(feed, 2, None, 5)
+    run = lambda: continuous.sync_history(spark, feed, out, ck).awaitTermination()
+    read = lambda name: sorted(r[0] for r in spark.read.parquet(f"{out}/{name}").select("unique_key").collect()) if glob.glob(f"{out}/{name}/batch=*") else []
+    run()  # both accounts are new: rescans, no work
+    assert read("rescans") == ["gmail-fallback:1:missing-history", "gmail-fallback:2:missing-history"] and read("work") == []
+    _page(feed, 1, 10, 11, added=["a", "b"])
+    _page(feed, 1, 11, 12, touched=["b", "c", None])
+    run()  # a restart
+    assert read("work") == ["gmail-message:1:a", "gmail-message:1:b", "gmail-message:1:c"]
+    _page(feed, 1, 12, 13, added=["d"])
+    _page(feed, 2, 8, 9, added=["lost"])  # the feed no longer goes on from 5
+    _page(feed, 3, None, 1)
+    run()
+    run()  # nothing new
+    assert read("work") == [f"gmail-message:1:{m}" for m in "abcd"]
+    assert read("rescans") == ["gmail-fallback:1:missing-history", "gmail-fallback:2:missing-history", "gmail-fallback:2:stale:5", "gmail-fallback:3:missing-history"]
+    _page(feed, 2, 9, 10, added=["found"])
+    run()
+    assert read("work") == [f"gmail-message:1:{m}" for m in "abcd"] + ["gmail-message:2:found"]
+    last = spark.read.parquet(f"{out}/cursors").groupBy("account_id").agg(F.max_by("cursor", "batch").alias("c")).collect()
+    assert {r.account_id: r.c for r in last} == {1: "13", 2: "10", 3: "1"}
+
+
+def test_a_delta_feed_gives_the_rows_of_the_batch_operator(spark, tmp_path):
+    feed, out, ck = (str(tmp_path / d) for d in ("feed", "out", "ck"))
+    message = lambda k: {"id": f"m{k}", "removed": k % 4 == 0, "has_attachments": k % 3 != 0}
+    for account in (1, 2):
+        _page(feed, account, None, 0)
+    continuous.sync_delta(spark, feed, out, ck).awaitTermination()
+    rows = []
+    for k in range(12):
+        _page(feed, 1 + k % 2, k // 2, k // 2 + 1, messages=[message(k), message(k + 50)], delta_link=f"l{k}")
+        rows.append((1 + k % 2, k, [tuple(message(x).values()) for x in (k, k + 50)], f"l{k}"))
+        if k in (4, 11):
+            continuous.sync_delta(spark, feed, out, ck).awaitTermination()
+    pages = spark.createDataFrame(rows, "account_id long, page_no long, messages array<struct<id:string,removed:boolean,has_attachments:boolean>>, delta_link string")
+    want = sorted(r.unique_key for r in events.delta_to_messages(pages)[0].collect())
+    assert sorted(r.unique_key for r in spark.read.parquet(f"{out}/work").collect()) == want
