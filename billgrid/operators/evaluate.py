@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from billgrid.functions import text as tx
 from billgrid.functions.money import money_equal, money_key
-from billgrid.session import materialize
 
 SCORED = ("invoice_number", "issue_date", "due_date", "currency", "seller", "buyer", "balance_due")
 
@@ -99,29 +97,53 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(column, F.lit("unknown")).alias(column)).agg(F.count("*").alias("n"))
 
 
-def latency_summary(df: DataFrame, column: str = "duration_ms") -> DataFrame:
-    """Median, 95th (rank ``round(0.95 n + 0.5)``, half to even) and maximum.
+#: Error of a quantile sketch: one rank in so many. Rows of a range that are counted out one by one.
+ACCURACY, FEW = 10_000, 10_000
+
 
-    Equal durations are counted first and ranks are running counts over distinct values, in
-    ranges that are stored once, so that every reader sees the same: only the totals of ranges meet,
-    never the values.
+def value_at(values: DataFrame, rank: int) -> float | None:
+    """The value (column ``v``, not null) of a rank from 1, null if there are fewer.
+
+    A mergeable sketch names a narrow range around the rank, exact counts of what lies below confirm
+    it, and so on inside it until few rows or one value are left: no pass sorts or moves the values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.max("v").alias("max"))
-    banded = materialize(counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id()), "latency-ranges")
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = banded.groupBy("_p").agg(F.sum("n").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    running = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = banded.withColumn("_r", F.sum("n").over(running)).join(F.broadcast(offsets), "_p").select(
-        "v", (F.col("_r") + F.col("_off")).alias("last"), (F.col("_r") + F.col("_off") - F.col("n") + 1).alias("first")
-    )
-    n = F.col("total")
-    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("v")))
-    p95 = F.least(n, F.greatest(F.lit(1), F.bround(n * 0.95 + 0.5, 0).cast("long")))
-    return ranked.join(F.broadcast(total), F.lit(True)).agg(
-        F.round((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2, 2).alias("p50"),
-        F.round(at(p95), 2).alias("p95"), F.round(F.max("max"), 2).alias("max"),
-    )
+    inside, before, lo, hi = values, 0, None, None
+    n = values.count()
+    if not 1 <= rank <= n:
+        return None
+    while n > FEW:
+        at = (rank - before) / n
+        around = [max(0.0, at - 3 / ACCURACY), min(1.0, at + 3 / ACCURACY)]
+        low, high = inside.agg(F.percentile_approx("v", around, ACCURACY).alias("q")).first().q
+        below, within = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not before + below < rank <= before + below + within:  # the sketch missed it: keep the side it is on
+            side = F.col("v") < low if rank <= before + below else F.col("v") > high
+            inside, before = inside.filter(side), before if rank <= before + below else before + below + within
+        elif low == high:
+            return low
+        elif (low, high) == (lo, hi):  # two frequent values: their own rows go
+            first, last = inside.agg(F.count_if(F.col("v") == low), F.count_if(F.col("v") == high)).first()
+            if rank <= before + first:
+                return low
+            if rank > before + n - last:
+                return high
+            inside, before = inside.filter((F.col("v") > low) & (F.col("v") < high)), before + first
+        else:
+            inside, before, lo, hi = inside.filter(F.col("v").between(low, high)), before + below, low, high
+        n = inside.count()
+    rest = inside.orderBy("v").limit(rank - before).select("v").tail(1)
+    return rest[0].v
+
+
+def latency_summary(df: DataFrame, column: str = "duration_ms") -> DataFrame:
+    """Median, 95th (rank ``round(0.95 n + 0.5)``, half to even) and maximum; nulls don't count."""
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n, largest = values.agg(F.count("*"), F.max("v")).first()
+    rank = min(n, max(1, round(0.95 * n + 0.5)))
+    low, high, p95 = (value_at(values, r) for r in ((n + 1) // 2, n // 2 + 1, rank))
+    row = df.sparkSession.range(1)
+    double = lambda x: F.lit(x).cast("double")
+    return row.select(F.round((double(low) + double(high)) / 2, 2).alias("p50"), F.round(double(p95), 2).alias("p95"), F.round(double(largest), 2).alias("max"))
 
 
 def decision_agreement(decisions: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

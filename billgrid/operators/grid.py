@@ -429,19 +429,34 @@ def nearest_identifier(asks: DataFrame, lines: DataFrame) -> DataFrame:
 # --- second-source calibration (J17) and mentions (P22) --------------------------------
 
 
+#: Side of a cell of a page in points, and the last cell of a row or column: what lies beyond is in it.
+CELL, LAST_CELL = 36.0, 63
+
+
+def _cell(at: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(LAST_CELL), F.floor(at / CELL))).cast("int")
+
+
+def words_by_cell(fields: DataFrame, words: DataFrame) -> DataFrame:
+    """Words (middle ``_x``, ``_y``, confidence ``_c``) with the boxes that reach into their cell of the page.
+
+    A word lies in one cell, a box in all that it covers, so the two meet by equality and a page's
+    words don't meet all its boxes.
+    """
+    edge = lambda i: F.get("bbox", F.lit(i))
+    cells = lambda lo, hi: F.when(lo <= hi, F.sequence(_cell(lo), _cell(hi)))
+    boxes = fields.select("doc_id", "field", "page", "bbox", F.explode(cells(edge(0), edge(2))).alias("_cx")).withColumn("_cy", F.explode(cells(edge(1), edge(3))))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    middles = words.filter("confidence is not null").select("doc_id", "page", F.col("confidence").alias("_c"), x.alias("_x"), y.alias("_y"), _cell(x).alias("_cx"), _cell(y).alias("_cy"))
+    return boxes.join(middles, ["doc_id", "page", "_cx", "_cy"])
+
+
 def calibrate_confidence(fields: DataFrame, words: DataFrame) -> DataFrame:
     """Cap a field's confidence by the 20th percentile of the words inside its box.
 
-    Words meet fields of their own page only; the rank inside a box replaces a sorted list.
+    Words meet the boxes of their own cell of a page only; the rank inside a box replaces a sorted list.
     """
-    inside = (
-        fields.select("doc_id", "field", "page", "bbox")
-        .join(words.filter("confidence is not null").select(
-            "doc_id", "page", F.col("confidence").alias("_c"),
-            ((F.col("x0") + F.col("x1")) / 2).alias("_x"), ((F.col("top") + F.col("bottom")) / 2).alias("_y"),
-        ), ["doc_id", "page"])
-        .filter("_x between bbox[0] and bbox[2] and _y between bbox[1] and bbox[3]")
-    )
+    inside = words_by_cell(fields, words).filter("_x between bbox[0] and bbox[2] and _y between bbox[1] and bbox[3]")
     w = Window.partitionBy("doc_id", "field")
     picked = (
         inside.withColumn("_r", F.row_number().over(w.orderBy("_c")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billgrid.functions import similarity
-from billgrid.operators import evaluate, fields, mail, queue, truth
+from billgrid.operators import evaluate, fields, grid, mail, queue, truth
 from billgrid.sources import sinks, tables
 
 
@@ -63,6 +63,33 @@ def test_percentiles_over_many_ranges(spark):
     assert (got.p50, got.p95, got["max"]) == (order[500], order[round(0.95 * 1001 + 0.5) - 1], 500.0)
 
 
+def test_ranks_among_frequent_values(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "FEW", 20)
+    values = [3.0] * 700 + [7.0] * 700 + [3.0 + k / 1000 for k in range(1, 60)] + [float(k) for k in range(8, 500)] + [-1.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    order = sorted(values)
+    for rank in (1, 2, 701, 702, 730, 760, 761, 762, 1460, 1461, len(values)):
+        assert evaluate.value_at(df, rank) == order[rank - 1], rank
+    assert evaluate.value_at(df, 0) is None and evaluate.value_at(df, len(values) + 1) is None
+    none = evaluate.latency_summary(spark.createDataFrame([], "duration_ms double")).first()
+    assert (none.p50, none.p95, none["max"]) == (None, None, None)
+
+
+def test_words_of_a_page_meet_few_of_its_boxes(spark):
+    words = spark.range(20000).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), (F.col("id") % 97 / 100).alias("confidence"), (F.col("id") % 120 * 5.0).alias("x0"), (F.col("id") % 120 * 5.0 + 4).alias("x1"),
+                                      (F.floor(F.col("id") / 120) * 4.7).alias("top"), (F.floor(F.col("id") / 120) * 4.7 + 4).alias("bottom"))
+    rows = [("d", f"f{k}", 1, [float(k % 20 * 30), float(k // 20 * 78), float(k % 20 * 30 + 25), float(k // 20 * 78 + 12)], 0.99) for k in range(200)]
+    rows += [("d", "page", 1, [-5.0, 0.0, 1e9, 1e9], 0.99), ("d", "none", 1, None, 0.9), ("d", "odd", 1, [5.0, 5.0, 1.0, 1.0], 0.9), ("e", "other", 1, [0.0, 0.0, 9.0, 9.0], 0.9)]
+    fields_ = spark.createDataFrame(rows, "doc_id string, field string, page int, bbox array<double>, confidence double")
+    assert grid.words_by_cell(fields_, words).count() < 20000 + 200 * 20000 / 50
+    got = {r.field: r.word_confidence for r in grid.calibrate_confidence(fields_, words).collect()}
+    held = [(r.confidence, (r.x0 + r.x1) / 2, (r.top + r.bottom) / 2) for r in words.collect()]
+    for _, name, _, box, _ in rows[:201]:
+        mine = sorted(c for c, x, y in held if box[0] <= x <= box[2] and box[1] <= y <= box[3])
+        assert got[name] == (round(mine[round((len(mine) - 1) * 0.2)], 3) if mine else None), name
+    assert got["none"] is None and got["odd"] is None and got["other"] is None
+
+
 def test_the_balance_may_be_the_seventh_reading(spark):
     schema = "doc_id string, field string, raw string, value string, amount double, currency string, page int, bbox array<double>, label string, confidence double, method string, ambiguity_reasons array<string>, seq array<int>, reason string, ceiling double"
     read = lambda field, amount, confidence, k: ("d", field, str(amount), None, amount, "USD", 1, [0.0, 0.0, 1.0, float(k)], "x", confidence, "m", [], [k], "multiple_totals", None)
