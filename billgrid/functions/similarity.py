@@ -34,6 +34,23 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(_blocks_ratio(F.when(a != b, a), b))
 
 
+#: Classes of characters that a text's spectrum counts.
+CLASSES = 32
+
+
+def spectrum(c: Column) -> Column:
+    """How many characters of each class (code point modulo CLASSES) a text has."""
+    chars = F.split(F.coalesce(c, F.lit("")), "")
+    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(chars, lambda x: (x != "") & (F.pmod(F.ascii(x), F.lit(CLASSES)) == k))))
+
+
+def similarity_bound(a: Column, spectrum_a: Column, b: Column, spectrum_b: Column) -> Column:
+    """A ratio that :func:`text_similarity` of two texts doesn't exceed: no more characters can match than
+    both have of a class. Built-in functions only."""
+    shared = F.aggregate(F.zip_with(spectrum_a, spectrum_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * shared / F.greatest(F.length(a) + F.length(b), F.lit(1))))
+
+
 @F.pandas_udf(DoubleType())
 def _best_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], float] = {}

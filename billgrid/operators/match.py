@@ -10,7 +10,8 @@ from billgrid.functions import lexicon as lx
 from billgrid.functions import text as tx
 from billgrid.functions.dates import date_or_null
 from billgrid.functions.money import money_decimal
-from billgrid.functions.similarity import text_similarity
+from billgrid.functions.similarity import similarity_bound, spectrum, text_similarity
+from billgrid.session import materialize
 from billgrid.operators.candidates import top_per_key
 from billgrid.schemas import CONTEXT, REFERENCE
 
@@ -50,6 +51,31 @@ def _amount_key(kind: str, amount: Column, day: Column | None = None) -> Column:
     return F.when(amount.try_cast("decimal(38,2)").isNotNull(), F.concat_ws("|", *parts, *([day.cast("string")] if day is not None else [])))
 
 
+def contenders(questions: DataFrame, offers: DataFrame) -> DataFrame:
+    """Questions (owner, tier, key, q, vendor) with those offers of their key that can be the most like.
+
+    The offer of the highest bound is compared first; only offers whose bound reaches its similarity
+    are left. So an offer that is missing here is less like than one that is not.
+    """
+    asked = questions.withColumn("_a", spectrum(F.col("vendor")))
+    bound = similarity_bound(F.col("vendor"), F.col("_a"), F.col("ap_vendor"), F.col("_b"))
+    met = materialize(asked.join(offers.withColumn("_b", spectrum(F.col("ap_vendor"))), ["owner", "tier", "key"]).withColumn("bound", bound).drop("_a", "_b"), "vendor-bounds")
+    question = ["owner", "tier", "q", "vendor"]
+    first = met.groupBy(*question).agg(F.max(F.struct("bound", "ap_vendor")).alias("m")).select(*question, F.col("m.ap_vendor").alias("ap_vendor"))
+    reached = first.join(_compared(first), ["vendor", "ap_vendor"]).select(*question, F.col("similarity").alias("reached"))
+    return met.join(reached, question).filter("bound >= reached").drop("bound", "reached")
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Similarity of each distinct pair of names."""
+    return pairs.select("vendor", "ap_vendor").distinct().withColumn("similarity", text_similarity(F.col("vendor"), F.col("ap_vendor")))
+
+
+def _contest(questions: DataFrame, offers: DataFrame) -> DataFrame:
+    left = materialize(contenders(questions, offers), "vendor-contenders")
+    return left.join(_compared(left), ["vendor", "ap_vendor"])
+
+
 def match_ap_context(keys: DataFrame, ap: DataFrame) -> DataFrame:
     """The record of each invoice, by purchase order, else number, else amount and date.
 
@@ -59,7 +85,8 @@ def match_ap_context(keys: DataFrame, ap: DataFrame) -> DataFrame:
     Keys may be very uneven, so both sides shrink before they meet: a key keeps the newest record
     of each vendor, and invoices are reduced to the distinct (key, vendor) pairs they ask for.
     No record beats one of the very vendor, so those pairs are settled by an equi-join; a pair
-    without a vendor takes the newest record. Only what is left meets the key's other vendors.
+    without a vendor takes the newest record. Only what is left meets the key's other vendors, of
+    which those that a bound rules out are never compared (:func:`contenders`).
 
     Output: doc_id, ap_id, similarity, match_strategy (only matched invoices).
     """
@@ -98,11 +125,10 @@ def match_ap_context(keys: DataFrame, ap: DataFrame) -> DataFrame:
     same = named.withColumn("ap_vendor", F.col("vendor")).join(offers, ["owner", "tier", "key", "ap_vendor"])
     open_ = named.join(same.select("owner", "tier", "q", "vendor").distinct(), ["owner", "tier", "q", "vendor"], "left_anti")
     columns = ["owner", "tier", "q", "vendor", "sub", "ap_vendor", "o.updated_at", "o.ap_id"]
-    like = text_similarity(F.col("vendor"), F.col("ap_vendor")).alias("similarity")
     met = (
         same.select(*columns, F.lit(1.0).alias("similarity"))
         .unionByName(unnamed.join(of_key, ["owner", "tier", "key"]).select(*columns, F.lit(0.0).alias("similarity")))
-        .unionByName(open_.join(offers, ["owner", "tier", "key"]).select(*columns, like))
+        .unionByName(_contest(open_, offers).select(*columns, "similarity"))
     )
     best = met.groupBy("owner", "tier", "q", "vendor").agg(
         F.max_by(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -51,6 +52,38 @@ def test_typo_vendor_wins_over_unrelated_vendor(spark):
     assert "f" not in got  # other owner's record
 
 
+_KEYS = "doc_id string, owner string, vendor string, po string, number string, amount decimal(20,2), day date"
+_AP = "id long, owner_user_id string, normalized_vendor string, normalized_purchase_order string, normalized_invoice_number string, invoice_total decimal(20,2), issue_date date, updated_at timestamp"
+
+
+def test_amounts_of_any_size_match(spark):
+    t, large = dt.datetime(2026, 1, 1), Decimal("12345678901.50")
+    keys = spark.createDataFrame([("a", "o", "x", "", "", large, None), ("b", "o", "x", "", "", Decimal("5.00"), None), ("c", "o", "x", "", "", Decimal("12345678901.51"), None)], _KEYS)
+    ap = spark.createDataFrame([(1, "o", "x", None, None, large, None, t), (2, "o", "x", None, None, Decimal("5.00"), None, t)], _AP)
+    assert {r.doc_id: r.ap_id for r in match.match_ap_context(keys, ap).collect()} == {"a": 1, "b": 2}
+
+
+def test_bounds_rule_out_most_names_and_change_nothing(spark):
+    """Every question of a hot key against every offer, by comparing all of them."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vendors = [f"{word(7)} {word(6)}" for _ in range(120)] + ["", "ünïcode 商事", "a", "aa ltd"]
+    asked = [v[:3] + word(1) + v[3:] for v in vendors[:60]] + [word(9) for _ in range(20)] + ["zz", "ünicode 商", "ltd aa"]
+    t = dt.datetime(2026, 1, 1)
+    keys = spark.createDataFrame([(f"d{k}", "o", v, "P", "", None, None) for k, v in enumerate(asked)], _KEYS)
+    ap = spark.createDataFrame([(k, "o", v, "P", None, None, None, t + dt.timedelta(k)) for k, v in enumerate(vendors)], _AP)
+    got = {r.doc_id: (r.ap_id, r.similarity) for r in match.match_ap_context(keys, ap).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for k, a in enumerate(asked):
+        best = max((ratio(a, b), j) for j, b in enumerate(vendors))
+        assert got[f"d{k}"] == (best[1], round(best[0], 3)), a
+    questions = spark.createDataFrame([("o", 1, "P", "P", 0, v) for v in asked], "owner string, tier int, key string, q string, sub int, vendor string")
+    offers = spark.createDataFrame([("o", 1, "P", v) for v in vendors], "owner string, tier int, key string, ap_vendor string")
+    assert match.contenders(questions, offers).count() < 0.3 * len(asked) * len(vendors)
+
+
 def test_all_records_of_a_key_compete(spark):
     """Fifty records of one key, the oldest of the very vendor, the second of a like one."""
     t = dt.datetime(2026, 1, 1)
