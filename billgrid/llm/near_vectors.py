@@ -109,6 +109,13 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _sized(embedding: Column) -> Column:
+    """Vectors whose squares would leave the range of doubles, brought to a largest component of 1;
+    all others as they are. A vector's cosines don't depend on its length."""
+    largest = F.array_max(F.transform(embedding, F.abs))
+    return F.when((largest > 0) & (largest < float("inf")) & ~largest.between(1e-100, 1e100), F.transform(embedding, lambda x: x / largest)).otherwise(embedding)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
@@ -279,7 +286,7 @@ def link(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     cast = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), cast.alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _sized(cast).alias("v"))
     rows = rows.withColumn("cid", F.when(usable(F.col("v")), F.xxhash64("v"))).select("vec_id", "cid", "v")
     distinct = rows.filter("cid is not null").groupBy("cid").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     distinct = common.stored(distinct.withColumn("dim", F.size("v")), "distinct-vectors")

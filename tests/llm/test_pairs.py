@@ -104,6 +104,18 @@ def _jaccard_links(rows):
     return [(a, b) for a in range(len(s)) for b in range(a) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])]
 
 
+def test_vectors_of_extreme_length(spark):
+    """Their squares are zero or infinite in doubles; cosines are as of any length."""
+    rng = random.Random(9)
+    base = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(6)]
+    sizes = [1e-170, 1e-300, 1.0, 1e160, 1e300, 5e-200]
+    rows = [(10 * k + j, [x * size for x in base[k]]) for k in range(6) for j, size in enumerate(sizes)] + [(99, [5e-324] + [0.0] * 11)]
+    got = {r.vec_id: r for r in near_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) >= 0.9
+    assert not any(near(a, b) for k, a in enumerate(base) for b in base[:k])
+    assert all(got[10 * k + j].n_links == 5 and got[10 * k + j].component_id == 10 * k for k in range(6) for j in range(6)) and got[99].n_links == 0
+
+
 def _varied(seed, copies, edits):
     rng = random.Random(seed)
     base = sentences(seed, 80).split()
