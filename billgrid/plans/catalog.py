@@ -343,10 +343,19 @@ def _extraction(spark, sf):
     return extract.Extraction(fields, items, _lines(spark, sf)), w
 
 
-@query("x8_extract_invoices", with_inv(f"SELECT doc_id, field, value FROM ({_SCALARS} UNION ALL {_PARTIES} UNION ALL SELECT doc_id, 'currency', 'USD' FROM inv)"))
+@query("x8_extract_invoices", with_inv(f"""SELECT doc_id, field, value, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS currency FROM (
+    {_SCALARS} UNION ALL {_PARTIES} UNION ALL SELECT doc_id, 'currency', 'USD' FROM inv UNION ALL SELECT doc_id, 'payment_instructions', 'Acct ' || bank_account FROM inv WHERE bank_account IS NOT NULL)
+    UNION ALL SELECT doc_id, field, NULL, amount, currency FROM ({_MONEY})"""))
 def x8(spark, sf):
+    """All fields; an amount stands for its text."""
     x, _ = _extraction(spark, sf)
-    return x.fields.filter("amount is null and field != 'payment_instructions'").select("doc_id", "field", "value")
+    return x.fields.select("doc_id", "field", F.when(F.col("amount").isNull(), F.col("value")).alias("value"), "amount", "currency")
+
+
+@query("w13_resolve_balance", with_inv("SELECT doc_id, CAST(balance_due AS DOUBLE) AS amount, 'constraint_resolved:money_label_words' AS method FROM inv"))
+def w13(spark, sf):
+    x, _ = _extraction(spark, sf)
+    return x.fields.filter("field = 'balance_due'").select("doc_id", "amount", "method")
 
 
 @query("x9_finalize_status", with_inv("""
