@@ -81,18 +81,22 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
 
 def complete_groups(batches, columns: tuple[str, ...], keys: tuple[str, ...]):
     """Chunks of columns as numpy arrays that end where a group ends; rows come sorted by ``keys``."""
-    held: dict[str, np.ndarray] | None = None
+    held: list[dict[str, np.ndarray]] = []  # pieces of the group that is not yet complete
+    whole = lambda: {c: np.concatenate([x[c] for x in held]) for c in columns}
     for batch in batches:
         if batch.num_rows:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in columns}
-            other = np.flatnonzero(np.any([held[c] != held[c][-1] for c in keys], axis=0))
-            if len(other):
-                cut = int(other[-1]) + 1
-                yield {c: x[:cut] for c, x in held.items()}
-                held = {c: x[cut:] for c, x in held.items()}
-    if held is not None:
-        yield held
+            other = np.flatnonzero(np.any([new[c] != new[c][-1] for c in keys], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or any(held[-1][c][-1] != new[c][-1] for c in keys)):
+                held.append({c: x[:cut] for c, x in new.items()})
+                yield whole()
+                held = []
+            elif cut:
+                yield {c: x[:cut] for c, x in new.items()}
+            held.append({c: x[cut:] for c, x in new.items()})
+    if held:
+        yield whole()
 
 
 def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:

@@ -28,8 +28,12 @@ FREQUENT, MOST_FREQUENT = 32, 200_000
 LEADING, SHARED = 8, 3
 #: Sets of one component in one index list from which on the list is dealt out in blocks.
 HOT = 4096
+#: Classes of shingles whose parity is told of each set.
+PARITIES = 2048
 #: Pairs formed in one numpy step.
 CELLS = 500_000
+#: Shingles that a task counts at a time, and sets after which it forgets which ones it has met.
+COUNTED, KNOWN = 4_000_000, 1_000_000
 #: 64-bit words of the bitmap that thins out texts before they are read again.
 BITMAP = 1 << 18
 
@@ -64,6 +68,29 @@ def set_id(s: np.ndarray) -> int:
     return int(common.mix(np.array([np.add.reduce(common.mix(s ^ _STEP)) + np.uint64(len(s))])).view(np.int64)[0])
 
 
+def parities(s: np.ndarray, classes: int = PARITIES) -> np.ndarray:
+    """For each of ``classes`` classes of shingles, whether the set has an odd number of them, as 64-bit
+    words: where two sets differ, a shingle is in one of them only."""
+    odd = np.bincount((common.mix(s) % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def own_parities(s: np.ndarray) -> np.ndarray:
+    """Parities of two to four classes for each shingle of a set too large for the common number. The
+    classes are a power of two, so halves laid over each other are those of half as many classes."""
+    return parities(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > PARITIES else s[:0]
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """How many shingles at least are in one of two sets only, by parities of which one's classes may be
+    some times the other's."""
+    differing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    size = F.least(F.size(x), F.size(y))
+    folded = lambda x: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(
+        F.sequence(F.lit(0), F.floor(F.size(x) / size).cast("int") - 1), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get(x, k * size + i))))
+    return F.when(size == 0, F.lit(0)).when(F.size(x) == F.size(y), differing(x, y)).otherwise(differing(folded(x), folded(y)))
+
+
 def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -79,24 +106,28 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of the shingles that most sets have among their first, counted over all documents: a task
-    counts those that it meets more than once among some thousands of sets."""
+    """Hashes of the shingles that most sets have, counted over all documents and all shingles of each: a
+    task counts a set once, and the shingles that it meets more than once among some thousands of sets."""
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.record_batch({"h": pa.array(h[n > 1].view(np.int64)), "n": pa.array(n[n > 1].astype(np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, known = [], 0, set()
         for batch in batches:
             for part in _slices(batch):
                 for raw in _raw(part.column("text")):
-                    s = shingle_set(raw)
-                    held.append(s[: prefix_length(len(s))] if len(s) else s)
-                    size += len(held[-1])
-                if size > 2_000_000:
+                    if not (s := shingle_set(raw)).size or (rid := set_id(s)) in known:
+                        continue
+                    known.add(rid)
+                    held.append(s)
+                    size += len(s)
+                if size > COUNTED:
                     yield repeated(held)
                     held, size = [], 0
+                if len(known) > KNOWN:
+                    known.clear()
         if held:
             yield repeated(held)
 
@@ -106,16 +137,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, row_key, n, rid, prefix, n_rare, heads, often of every row: its set's size and id, the
-    first shingles in the common order, how many of those are not frequent, the least hashes, and how
-    many frequent shingles the set has."""
+    """doc_id, row_key, n, rid, prefix, n_rare, heads, often, parity, own_parity of every row: its set's size and id,
+    the first shingles in the common order, how many of those are not frequent, the least hashes, how
+    many frequent shingles the set has, and its parities."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
             for part in _slices(batch):
-                n, rid, prefix, rare, often_, heads = [], [], [], [], [], []
+                n, rid, prefix, rare, often_, heads, parity, own = [], [], [], [], [], [], [], []
                 for raw in _raw(part.column("text")):
                     s = shingle_set(raw)
                     p = prefix_length(len(s)) if len(s) else 0
@@ -127,10 +158,12 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     rare.append(len(first))
                     often_.append(int(common_.sum()))
                     heads.append(s[:LEADING])
+                    parity.append(parities(s) if len(s) else s)
+                    own.append(own_parities(s))
                     prefix.append(np.r_[first, s[common_][: p - len(first)]] if len(first) < p else first)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n": pa.array(n, pa.int64()), "rid": pa.array(rid, pa.int64()), "prefix": _signed(prefix), "n_rare": pa.array(rare, pa.int64()), "heads": _signed(heads), "often": pa.array(often_, pa.int64())})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n": pa.array(n, pa.int64()), "rid": pa.array(rid, pa.int64()), "prefix": _signed(prefix), "n_rare": pa.array(rare, pa.int64()), "heads": _signed(heads), "often": pa.array(often_, pa.int64()), "parity": _signed(parity), "own_parity": _signed(own)})
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, rid long, prefix array<long>, n_rare long, heads array<long>, often long")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, rid long, prefix array<long>, n_rare long, heads array<long>, often long, parity array<long>, own_parity array<long>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,8 +212,10 @@ def _list_pairs(chunk: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Pairs of each list (sorted by shingle, block and position), a < b: their sizes, in how many lists
     of the chunk they meet, and their last places there.
 
-    If a pair links, their places of a common shingle are near: with p <= q the overlap is at most
-    p + (m - q), so q - p is at most a third of n. The list beyond that is skipped.
+    A pair that links has so many shingles in common that the first of them stands early in both: from
+    there on each set still has as many. Only lists with such places tell of a pair. Their places are
+    near as well: with p <= q the overlap is at most p + (m - q), so q - p is at most a third of n, and
+    the list beyond that is skipped.
     """
     n, pos, rid, comp = chunk["n"], chunk["pos"].astype(np.int64), chunk["rid"], chunk["comp"]
     change = (chunk["h"][1:] != chunk["h"][:-1]) | (chunk["block"][1:] != chunk["block"][:-1])
@@ -197,8 +232,7 @@ def _list_pairs(chunk: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         j = i + 1 + common.ranges(after[part])
         keep = (comp[i] != comp[j]) & ((chunk["block"][i] == 0) | chunk["hot"][i] | chunk["hot"][j])
         i, j = i[keep], j[keep]
-        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-        keep = most * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
+        keep = np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + PERCENT) >= (n[i] + n[j]) * PERCENT
         i, j = i[keep], j[keep]
         i, j = np.where(rid[i] < rid[j], i, j), np.where(rid[i] < rid[j], j, i)
         out.append(_merged(np.stack([rid[i], rid[j], n[i], n[j], np.ones(len(i), np.int64), pos[i], pos[j]])))
@@ -219,32 +253,39 @@ def _candidates(rows: DataFrame, others: DataFrame, comps: DataFrame) -> DataFra
     """a, b: pairs of sets of other components that may link, each once.
 
     ``rows`` without ``others`` (row_key) are the distinct sets. What two sets have in common lies within
-    both prefixes, where it is counted, or beyond the prefix that ends first and the last common place
-    of the other: the rests there bound it.
+    the pair's prefixes (all but the last overlap - 1 shingles of either, for the overlap that it needs),
+    where it is counted, or beyond the prefix that ends first and the last common place of the other:
+    the rests there bound it. Of what is left, parities tell how many shingles at least are in one set
+    only.
     """
     sets = rows.filter("rid is not null").select("row_key", "rid", "n", "n_rare", "prefix").join(others, "row_key", "left_anti")
-    marked = sets.join(comps.select(F.col("id").alias("rid"), F.col("component_id").alias("comp")), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    marked = sets.join(comps.select(F.col("id").alias("rid"), F.col("component_id").alias("comp")), "rid", "left")
     index = marked.select("rid", "n", "comp", "n_rare", F.posexplode("prefix").alias("pos", "h"))
-    # only frequent shingles can have long lists
-    long_ = index.filter("pos >= n_rare").groupBy("h", "comp").agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
+    long_ = index.groupBy("h", F.coalesce("comp", "rid").alias("comp")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
     long_ = common.stored(long_.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m")).select("h", F.col("m.comp").alias("hot_comp"), F.ceil(F.col("m.c") / HOT).cast("int").alias("blocks")), "long-lists")
     if long_.isEmpty():
         index = index.select("rid", "n", "comp", "pos", "h", F.lit(False).alias("hot"), F.lit(0).alias("block"))
     else:
-        hot = F.coalesce(F.col("comp") == F.col("hot_comp"), F.lit(False))
+        hot = F.coalesce(F.coalesce("comp", "rid") == F.col("hot_comp"), F.lit(False))
         blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(hot, F.array(F.pmod("rid", "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
         index = index.join(long_, "h", "left").select("rid", "n", "comp", "pos", "h", hot.alias("hot"), F.explode(blocks).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in common.complete_groups(batches, ("rid", "n", "comp", "pos", "h", "hot", "block"), ("h", "block")):
-            yield pa.record_batch({name: pa.array(x) for name, x in _list_pairs(chunk).items()})
+            yield pa.record_batch({name: pa.array(x) for name, x in _list_pairs(chunk | {"comp": np.where(chunk["comp"] == 0, chunk["rid"], chunk["comp"])}).items()})
 
-    lists = index.repartition("h", "block").sortWithinPartitions("h", "block", "pos")
+    lists = index.fillna(0, ["comp"]).repartition("h", "block").sortWithinPartitions("h", "block", "pos")
     met = lists.mapInArrow(run, "a long, b long, n long, m long, k long, p long, q long")
     met = met.groupBy("a", "b", "n", "m").agg(F.sum("k").alias("k"), F.max("p").alias("p"), F.max("q").alias("q"))
-    after = lambda size: F.ceil(F.col(size) * PERCENT / 100) - 1
-    rest = F.greatest(F.least(after("n"), F.col("m") - F.col("q") - 1), F.least(F.col("n") - F.col("p") - 1, after("m")))
-    return met.filter(_linked(F.col("k") + rest, F.col("n"), F.col("m"))).select("a", "b")
+    after = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT)) - 1
+    rest = F.greatest(F.least(after, F.col("m") - F.col("q") - 1), F.least(F.col("n") - F.col("p") - 1, after))
+    met = met.filter(_linked(F.col("k") + rest, F.col("n"), F.col("m"))).select("a", "b", "n", "m")
+    for parity in ("parity", "own_parity"):  # few words for all pairs, then as many as large sets need for those left
+        told = rows.filter("rid is not null").select("row_key", "rid", parity).join(others, "row_key", "left_anti").dropDuplicates(["rid"])
+        both = met.join(told.select(F.col("rid").alias("a"), F.col(parity).alias("x")), "a").join(told.select(F.col("rid").alias("b"), F.col(parity).alias("y")), "b")
+        met = both.filter(_linked((F.col("n") + F.col("m") - _apart(F.col("x"), F.col("y"))) / 2, F.col("n"), F.col("m"))).select("a", "b", "n", "m")
+        met = common.stored(met, f"pairs-by-{parity.replace('_', '-')}")
+    return met.select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, partners: DataFrame, docs: DataFrame) -> DataFrame:
