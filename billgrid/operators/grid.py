@@ -173,10 +173,10 @@ class Phrases:
 def field_phrases(labels=lx.FIELD_LABELS) -> Phrases:
     return Phrases(
         [
-            (tx.label_tokens(label), key, label, rank)
+            (tx.phrase_words(label), key, label, rank)
             for key, phrases in labels.items()
             for rank, label in enumerate(phrases)
-            if tx.label_tokens(label)
+            if tx.phrase_words(label)
         ]
     )
 
@@ -267,7 +267,7 @@ def overlaps_x(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def total_phrases(labels=lx.FIELD_LABELS) -> Phrases:
     phrases = ["total"] + [x for k in lx.MONEY_KEYS for x in labels[k]]
     return Phrases(
-        [(tx.column_label_tokens(p), "total", p, i) for i, p in enumerate(phrases) if tx.column_label_tokens(p)]
+        [(tx.heading_words(p), "total", p, i) for i, p in enumerate(phrases) if tx.heading_words(p)]
     )
 
 
