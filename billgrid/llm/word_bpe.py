@@ -8,6 +8,7 @@ one token ending there that can stand behind the last token of the node where it
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import math
@@ -24,7 +25,7 @@ from billgrid.llm import common
 SLICE_BYTES = 8_000_000
 #: Chunks between white space after which a worker drops those that it has not met again (it holds
 #: twice as many at most), and their longest length in bytes.
-KEPT_CHUNKS, KEPT_BYTES = 200_000, 40
+KEPT_CHUNKS, KEPT_BYTES = 300_000, 40
 #: Pairs of tokens that a worker remembers.
 KEPT_PAIRS = 1_000_000
 
@@ -241,6 +242,9 @@ class WordBpe:
 def vocabulary(path: str) -> WordBpe:
     if path not in _models:
         _models[path] = WordBpe(path)
+        # millions of small objects without cycles come and go here: looking for cycles takes a fifth of the time
+        gc.freeze()
+        gc.set_threshold(1_000_000, 50, 1_000)
     return _models[path]
 
 
