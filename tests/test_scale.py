@@ -47,3 +47,25 @@ def test_only_offers_of_asked_keys_are_counted(spark):
         match.spectrum = keep
     assert [r.ap_vendor for r in counted] == ["acme co"]
 
+
+DOC = "doc_id string, source long, number string, po string, vendor string, amount decimal(12,2), wanted string"
+
+
+def test_lesser_agreements_are_asked_where_the_whole_is_not_found(spark, monkeypatch):
+    invoices = spark.createDataFrame([
+        ("whole", 1, "1", "p1", "v", None, None), ("part", 1, "2", "p9", "v", None, None), ("none", 1, "8", "p8", "w", None, None),
+        # rows of one id: the best of both stands, although the smaller one is found whole
+        ("twice", 2, "", "", "v", None, None), ("twice", 2, "5", "p5", "x", None, None),
+        (None, 1, "1", "p1", "v", None, None),
+    ], DOC)
+    docs = spark.createDataFrame([
+        ("d1", 1, "1", "p1", "v", None, None), ("d2", 1, "2", "p2", "v", None, None),
+        ("d3", 2, "9", "p9", "v", None, None), ("d4", 2, "5", "p5", "y", None, None),
+    ], DOC).withColumnRenamed("doc_id", "document_id").withColumn("position", F.substring("document_id", 2, 1).cast("long")).drop("wanted")
+    met = []
+    ask = match._best_agreement
+    monkeypatch.setattr(match, "_best_agreement", lambda a, o: met.append(a.filter("doc_id = 'whole'").count()) or ask(a, o))
+    got = {(r.doc_id, r.document_id, r.score) for r in match.select_document(invoices, docs).filter("doc_id is not null").collect()}
+    assert got == {("whole", "d1", 9), ("part", "d2", 6), ("none", "d1", 0), ("twice", "d4", 7)}
+    assert met == [1, 0]
+    assert match.select_document(invoices, docs).filter("doc_id is null and score > 0").count() == 1
