@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from billgrid.functions import lexicon as lx
 from billgrid.functions import text as tx
-from billgrid.operators.grid import mentions
+from billgrid.operators.candidates import stage
+from billgrid.operators.grid import lower_text, mentions_lower
 
 
 def profile_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -94,11 +95,11 @@ def important_pages(pages: DataFrame, targets: DataFrame, n: int | None = None)
     """
     named = F.lit(False)
     for key in (*lx.FIELD_KEYS, "line_items"):
-        named = named | (F.array_contains("targets", key) & mentions(F.col("text"), key))
+        named = named | (F.array_contains("targets", key) & mentions_lower(F.col("_low"), key))
     ends = pages.groupBy("doc_id").agg(F.min("page").alias("_first"), F.max("page").alias("_last"))
     cls = F.when(F.col("_named"), 0).when(F.col("page") == F.col("_first"), 1).when(F.col("page") == F.col("_last"), 2).otherwise(3)
     ranked = (
-        pages.join(targets, "doc_id").withColumn("_named", named).select("doc_id", "page", "_named")
+        stage(pages.select("doc_id", "page", "text"), _low=lower_text(F.col("text"))).join(targets, "doc_id").withColumn("_named", named).select("doc_id", "page", "_named")
         .join(ends, "doc_id")
         .withColumn("priority", cls)
         .withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("priority", "page")))

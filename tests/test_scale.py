@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from billgrid.operators import match
+from billgrid.functions import text
+from billgrid.operators import grid, match, merge, profile, validate
 from billgrid.plans import fixtures as fx
 
 
@@ -58,3 +59,14 @@ def test_lesser_agreements_are_asked_where_the_whole_is_not_found(spark, monkeyp
     assert got == {("whole", "d1", 9), ("part", "d2", 6), ("none", "d1", 0), ("twice", "d4", 7)}
     assert met == [1, 0]
     assert match.select_document(invoices, docs).filter("doc_id is null and score > 0").count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_texts_are_lowered_once(spark):
+    pages = spark.createDataFrame([("a", "TAX 5"), ("a", "Tax"), ("b", None), ("c", "Due Date")], "doc_id string, text string")
+    out = grid.pages_mention(pages, ("tax", "due_date"))
+    assert _plan(out).count("lower(") == 1
+    assert {tuple(r) for r in out.collect()} == {("a", "tax"), ("c", "due_date")}
