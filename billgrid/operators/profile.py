@@ -20,7 +20,9 @@ def profile_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """
     t = tx.strip_ws(F.col("text"))
     place = ["doc_id", "page", F.lower("text").alias("t"), *[F.bround(c, 0).alias(c) for c in ("x0", "top", "x1", "bottom")]]
-    per_place = words.groupBy(*place).agg(
+    # a page's words meet once: what follows stays in their partition
+    at_page = words.select("doc_id", "page", "text", "x0", "top", "x1", "bottom").repartition("doc_id", "page")
+    per_place = at_page.groupBy(*place).agg(
         F.count("*").alias("n"),
         F.count_if(t != "").alias("filled"),
         F.sum(F.length(t)).alias("visible"),

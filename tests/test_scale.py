@@ -70,3 +70,22 @@ def test_page_texts_are_lowered_once(spark):
     out = grid.pages_mention(pages, ("tax", "due_date"))
     assert _plan(out).count("lower(") == 1
     assert {tuple(r) for r in out.collect()} == {("a", "tax"), ("c", "due_date")}
+
+
+def test_places_on_the_grid_follow_from_the_line(spark):
+    docs = spark.createDataFrame([("a", "ab  \U0001f600d ef\n\nx"), ("b", None), ("c", "one two"), ("c", "one two")], "doc_id string, text string")
+    got = sorted((r.doc_id, r.top / 12, r.text, r.x0 / 6) for r in fx.words_on_grid(docs).collect())
+    assert got[:4] == [("a", 0, "ab", 0), ("a", 0, "ef", 7), ("a", 0, "\U0001f600d", 4), ("a", 2, "x", 0)]
+    # documents of one id run on into each other
+    assert got[4:] == [("c", 0, "one", 0), ("c", 0, "one", 4), ("c", 0, "two", 8), ("c", 0, "two", 12)]
+
+
+WORD = "doc_id string, page int, text string, x0 double, top double, x1 double, bottom double, confidence double"
+
+
+def test_words_meet_by_page_not_by_place(spark):
+    words = spark.createDataFrame([("a", 1, t, 0.0, 0.0, 9.0, 8.0, None) for t in ("Ab", "aB", "c")], WORD)
+    pages = spark.createDataFrame([("a", 1, 612.0, 792.0, 5)], "doc_id string, page int, width double, height double, char_count long")
+    out = profile.profile_pages(words, pages)
+    assert not [x for x in _plan(out).split("Exchange hashpartitioning(")[1:] if "x0" in x.split("\n")[0]]
+    assert [(r.word_count, r.duplicate_word_ratio) for r in out.collect()] == [(3, 0.333)]
