@@ -89,3 +89,11 @@ def test_words_meet_by_page_not_by_place(spark):
     out = profile.profile_pages(words, pages)
     assert not [x for x in _plan(out).split("Exchange hashpartitioning(")[1:] if "x0" in x.split("\n")[0]]
     assert [(r.word_count, r.duplicate_word_ratio) for r in out.collect()] == [(3, 0.333)]
+
+
+def test_facts_of_words_nobody_reads_are_not_made(spark):
+    words = spark.createDataFrame([("a", 1, "USD", 0.0, 0.0, 9.0, 8.0, None), ("a", 1, "5.00", 10.0, 0.0, 19.0, 8.0, None)], WORD)
+    lines = grid.build_lines(words)
+    assert "regexp_replace" not in _plan(lines.groupBy("doc_id").count())
+    assert [[(w.text, w.tok, w.htok, w.money, w.cur, w.num) for w in r.words] for r in lines.collect()] == [
+        [("USD", "usd", "usd", False, True, False), ("5.00", "500", "500", True, False, True)]]
