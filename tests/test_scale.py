@@ -97,3 +97,13 @@ def test_facts_of_words_nobody_reads_are_not_made(spark):
     assert "regexp_replace" not in _plan(lines.groupBy("doc_id").count())
     assert [[(w.text, w.tok, w.htok, w.money, w.cur, w.num) for w in r.words] for r in lines.collect()] == [
         [("USD", "usd", "usd", False, True, False), ("5.00", "500", "500", True, False, True)]]
+
+
+def test_increments_are_read_once(spark):
+    raws = ["USD 12", "12.5", "(12,50)", "1.25 \n", " 3.5 ", "1.234", "", None, "5.25\nx"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").select("i", text.display_increment(F.col("raw")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [1.0, 0.1, 0.01, 0.01, 0.1, 1.0, 1.0, 1.0, 1.0]
+    out = fx.parsed(_invoices(spark)).select(validate.check_amount_composition()["status"].alias("s"))
+    # the status stands three times in a check, each with one lambda for all amounts
+    assert _plan(out).split("\n\n")[0].count("regexp_extract") == 3
+    assert {r.s for r in out.collect()} == {"pass"}
