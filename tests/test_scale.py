@@ -107,3 +107,11 @@ def test_increments_are_read_once(spark):
     # the status stands three times in a check, each with one lambda for all amounts
     assert _plan(out).split("\n\n")[0].count("regexp_extract") == 3
     assert {r.s for r in out.collect()} == {"pass"}
+
+
+def test_a_field_is_parsed_once(spark):
+    assert merge._bad_value(F.col("j"), True)._jc.toString().count("get_json_object") == 2
+    good = '{"value":1.5,"confidence":0.9}'
+    rows = [good, '{"value":"1.5","confidence":0.9}', '{"value":null,"confidence":0}', '{"value":null,"confidence":0.1}', '{"value":1,"confidence":2}', None]
+    bad = spark.createDataFrame([(i, j) for i, j in enumerate(rows)], "i int, j string").select("i", merge._bad_value(F.col("j"), True).alias("b")).orderBy("i").collect()
+    assert [r.b for r in bad] == [False, True, False, True, True, True]
