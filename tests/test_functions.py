@@ -162,3 +162,14 @@ def test_boxes(spark):
 def test_strip_leading_label(spark):
     got = run(spark, ["Invoice No: INV-7", "PO", "INV-7"], text.strip_leading_label("invoice_number", V()))
     assert got == ["INV-7", "PO", "INV-7"]
+
+
+def test_blocks_ratio_is_that_of_the_matcher():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    word = lambda chars: "".join(rng.choices(chars, k=rng.randint(0, 18)))
+    pairs = [(word(chars), word(chars)) for chars in ("ab", "0123456789", "abc \U0001f600\u00e9") for _ in range(500)]
+    pairs += [("", ""), ("a", ""), ("supplier 0010007", "supplier 000000107")]
+    assert [similarity.blocks_ratio(*p) for p in pairs] == [SequenceMatcher(None, *p, autojunk=False).ratio() for p in pairs]
