@@ -273,8 +273,21 @@ def infer_metadata(docs: DataFrame, templates: DataFrame, papers: DataFrame) ->
     return docs.select("document_id").join(best, "document_id", "left").fillna({"template_slug": "unknown", "paper_slug": "unknown"})
 
 
+#: A task meets about this many of the documents that name one sample id.
+NAMED_TOGETHER = 100_000
+
+
 def first_sample(docs: DataFrame, samples: DataFrame) -> DataFrame:
-    """The first of a document's sample ids that exists."""
-    ids = docs.select("document_id", F.posexplode("sample_ids").alias("pos", "sample_id"))
+    """The first of a document's sample ids that exists.
+
+    An id that very many documents name is met in several parts, by document; ids of that kind are
+    as few as all ids divided by NAMED_TOGETHER.
+    """
+    ids = materialize(docs.select("document_id", F.posexplode("sample_ids").alias("pos", "sample_id")), "named-samples")
+    often = ids.groupBy("sample_id").count().filter(F.col("count") > NAMED_TOGETHER)
+    often = F.broadcast(materialize(often.select("sample_id", F.ceil(F.col("count") / NAMED_TOGETHER).cast("int").alias("_parts")), "frequent-samples"))
     value = F.struct("sample_id", *[c for c in samples.columns if c != "sample_id"])
-    return ids.join(samples, "sample_id").groupBy("document_id").agg(F.min_by(value, "pos").alias("s")).select("document_id", "s.*")
+    ids = ids.join(often, "sample_id", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.hash("document_id"), "_parts")).otherwise(0)).drop("_parts")
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    samples = samples.join(often, "sample_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
+    return ids.join(samples, ["sample_id", "_part"]).groupBy("document_id").agg(F.min_by(value, "pos").alias("s")).select("document_id", "s.*")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from billgrid.functions import text
-from billgrid.operators import grid, match, merge, profile, validate
+from billgrid.operators import grid, match, merge, profile, truth, validate
 from billgrid.plans import fixtures as fx
 
 
@@ -115,3 +115,12 @@ def test_a_field_is_parsed_once(spark):
     rows = [good, '{"value":"1.5","confidence":0.9}', '{"value":null,"confidence":0}', '{"value":null,"confidence":0.1}', '{"value":1,"confidence":2}', None]
     bad = spark.createDataFrame([(i, j) for i, j in enumerate(rows)], "i int, j string").select("i", merge._bad_value(F.col("j"), True).alias("b")).orderBy("i").collect()
     assert [r.b for r in bad] == [False, True, False, True, True, True]
+
+
+def test_a_sample_that_all_documents_name_is_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(truth, "NAMED_TOGETHER", 4)
+    docs = spark.range(40).selectExpr("cast(id AS string) AS document_id", "array('s-' || id, 'x', NULL) AS sample_ids")
+    samples = spark.sql("SELECT 's-' || id AS sample_id, id AS seed FROM range(10) UNION ALL SELECT 'x', -1L UNION ALL SELECT NULL, 5L")
+    out = truth.first_sample(docs, samples)
+    assert "_part" in _plan(out)
+    assert {r.document_id: (r.sample_id, r.seed) for r in out.collect()} == {str(i): (f"s-{i}", i) if i < 10 else ("x", -1) for i in range(40)}
