@@ -124,3 +124,16 @@ def test_a_sample_that_all_documents_name_is_met_in_parts(spark, monkeypatch):
     out = truth.first_sample(docs, samples)
     assert "_part" in _plan(out)
     assert {r.document_id: (r.sample_id, r.seed) for r in out.collect()} == {str(i): (f"s-{i}", i) if i < 10 else ("x", -1) for i in range(40)}
+
+
+def test_tables_of_the_star_are_written_in_their_own_columns_without_a_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "star")
+    monkeypatch.setattr(truth, "STAR", {"labels": truth.truth_labels, "sample_ids": truth.truth_sample_ids})
+    docs = lambda ids: spark.createDataFrame([({"document_id": x, "labels": {"a": "A"}, "sample_ids": [x, "s"]},) for x in ids], "d struct<document_id: string, labels: map<string,string>, sample_ids: array<string>>")
+    truth.write_truth_star(docs(["d1", "d2"]), path, "01")
+    truth.write_truth_star(docs(["d3"]), path, "a/b=c", stored=True)
+    truth.write_truth_star(docs(["d4"]), path, "01")
+    read = lambda name: sorted(map(tuple, truth.read_truth_star(spark, path, name).collect()))
+    assert read("labels") == [("d3", "a", "A", "a/b=c"), ("d4", "a", "A", "01")]
+    assert read("sample_ids") == [("d3", 1, "d3", "a/b=c"), ("d3", 2, "s", "a/b=c"), ("d4", 1, "d4", "01"), ("d4", 2, "s", "01")]
+    assert spark.read.parquet(f"{path}/labels").columns == ["document_id", "label_key", "label_text", "batch", "version"]
