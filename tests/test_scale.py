@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from billgrid import session
 from billgrid.functions import text
-from billgrid.operators import grid, match, merge, profile, truth, validate
+from billgrid.operators import decide, grid, match, merge, profile, truth, validate
 from billgrid.plans import fixtures as fx
 
 
@@ -137,3 +138,56 @@ def test_tables_of_the_star_are_written_in_their_own_columns_without_a_shuffle(s
     assert read("labels") == [("d3", "a", "A", "a/b=c"), ("d4", "a", "A", "01")]
     assert read("sample_ids") == [("d3", 1, "d3", "a/b=c"), ("d3", 2, "s", "a/b=c"), ("d4", 1, "d4", "01"), ("d4", 2, "s", "01")]
     assert spark.read.parquet(f"{path}/labels").columns == ["document_id", "label_key", "label_text", "batch", "version"]
+
+
+def test_evidence_is_made_where_it_is_read(spark, monkeypatch):
+    for name in ("_json", "check_evidence"):
+        monkeypatch.setattr(decide, name, lambda *a, **b: F.udf(lambda: "{}", "string")())
+    inv = _invoices(spark)
+    matches = spark.sql("SELECT cast(id AS string) AS doc_id, id AS ap_id, 1.0D AS similarity, 'vendor_po' AS match_strategy FROM range(1, 3)")
+    h = match.hydrate_context(fx.normalized(inv), matches, fx.ap_records(inv))
+    out = decide.decide(h)
+    assert "BatchEvalPython" in _plan(out.select("checks"))
+    assert "BatchEvalPython" not in _plan(out.select("doc_id", "decision"))
+    assert {r.doc_id: r.decision for r in out.select("doc_id", "decision").collect()} == {"1": "approve_partial_consumption", "2": "approve_with_tolerance", "3": "needs_review"}
+
+
+def test_only_open_invoices_ask_the_next_tier(spark, monkeypatch):
+    keys = spark.createDataFrame(
+        [("a", "o", "x", "P", "1", None, None), ("b", "o", "x", "Q", "1", None, None), ("c", "o", "", "", "9", None, None),
+         # rows of one id are one invoice: the purchase order of the second settles both
+         ("d", "o", "x", "", "1", None, None), ("d", "o", "x", "P", "", None, None), (None, "o", "x", "P", "", None, None), (None, "o", "x", "", "1", None, None)],
+        "doc_id string, owner string, vendor string, po string, number string, amount decimal(12,2), day date")
+    ap = spark.createDataFrame(
+        [(1, "o", "x", "P", None, None, None, None), (2, "o", "x", None, "1", None, None, None), (3, "o", "y", None, "9", None, None, None)],
+        "id long, owner_user_id string, normalized_vendor string, normalized_purchase_order string, normalized_invoice_number string, invoice_total decimal(12,2), issue_date date, updated_at timestamp")
+    asking, ask = [], match._ask
+    monkeypatch.setattr(match, "_ask", lambda state, *rest: asking.append(sorted(str(r.doc_id) for r in state.collect())) or ask(state, *rest))
+    got = {r.doc_id: (r.ap_id, r.match_strategy) for r in match.match_ap_context(keys, ap).collect()}
+    assert got == {"a": (1, "vendor_po"), "b": (2, "vendor_invoice_number"), "c": (3, "invoice_number"), "d": (1, "vendor_po"), None: (1, "vendor_po")}
+    assert asking == [["None", "None", "a", "b", "c", "d", "d"], ["b", "c"], []]
+
+
+def test_intermediate_tables_of_matching_go_with_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    inv = _invoices(spark)
+    out = match.match_ap_context(match.match_keys(fx.normalized(inv)), fx.ap_records(inv))
+    assert out.count() == 3
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["matches"]
+
+
+def test_normalized_invoices_are_not_moved_whole(spark):
+    inv = _invoices(spark)
+    matches = spark.sql("SELECT cast(id AS string) AS doc_id, id AS ap_id, 1.0D AS similarity, 'vendor_po' AS match_strategy FROM range(1, 3)")
+    h = match.hydrate_context(fx.normalized(inv.repartition(4, "doc_id")), matches, fx.ap_records(inv.repartition(4, "k")))
+    moved = h._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1:]
+    # the rows they are made of, matches, and contexts once
+    assert len(moved) == 4
+
+
+def test_every_kind_of_white_space_is_trimmed(spark):
+    marks = [chr(i) for i in (*range(9, 14), 28, 32, 133, 160, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(f"{m}{m} a{m}b{m}\n",) for m in marks] + [(m,) for m in marks] + [("",), (None,)], "s string")
+    old = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
+    assert rows.filter(~text.strip_ws(F.col("s")).eqNullSafe(old)).count() == 0
+    assert "regexp" not in _plan(rows.select(text.strip_ws(F.col("s"))))
