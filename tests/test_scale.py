@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from billgrid import session
 from billgrid.functions import text
 from billgrid.operators import decide, grid, match, merge, profile, truth, validate
+from billgrid.plans import catalog
 from billgrid.plans import fixtures as fx
 
 
@@ -191,3 +192,40 @@ def test_every_kind_of_white_space_is_trimmed(spark):
     old = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
     assert rows.filter(~text.strip_ws(F.col("s")).eqNullSafe(old)).count() == 0
     assert "regexp" not in _plan(rows.select(text.strip_ws(F.col("s"))))
+
+
+def _items(spark):
+    return spark.sql("""
+        SELECT k, cast(i AS int) AS line, k AS suppkey, i AS partkey, 'steel bolt' AS description, cast(2 AS decimal(12,2)) AS quantity,
+          cast(10 AS decimal(12,2)) AS amount, cast(5 AS decimal(12,2)) AS unit_price, cast(0 AS decimal(4,2)) AS discount_rate,
+          cast(0 AS decimal(4,2)) AS tax_rate, date'2026-01-02' AS ship_date
+        FROM (SELECT id AS k FROM range(1, 4)) CROSS JOIN (SELECT id AS i FROM range(1, 3))""")
+
+
+def _small(spark, monkeypatch):
+    """The catalog over small rows; tables it stores are refused."""
+    def refused(*_):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(fx, "invoices", lambda spark, sf: _invoices(spark))
+    monkeypatch.setattr(fx, "line_items", lambda spark, sf: _items(spark))
+    monkeypatch.setattr(catalog, "materialize", refused)
+
+
+def test_words_that_lie_together_are_neither_moved_nor_stored(spark, monkeypatch):
+    _small(spark, monkeypatch)
+    out = catalog.QUERIES["w06_build_lines"](spark, "small")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("posexplode(split")
+    # between words and lines nothing moves; only counts do after
+    assert "Window" in plan[:made] and "Exchange" not in plan[plan.index("Window"):made]
+    assert {tuple(r) for r in out.collect()} == {(str(k), 14 + 1 + 2 + 2 + 1 + 2 - 4) for k in (1, 2, 3)}
+    rows = lambda **how: sorted(map(repr, fx.rendered_words(_invoices(spark), _items(spark), **how).collect()))
+    assert rows() == rows(spread=3)
+
+
+def test_words_of_a_line_are_sorted_once(spark):
+    words = spark.createDataFrame([("a", 1, "b", 10.0, 0.0, 19.0, 8.0, None), ("a", 1, "a", 0.0, 1.0, 9.0, 9.0, None), ("a", 1, " ", 0.0, 40.0, 9.0, 48.0, None)], WORD)
+    lines = grid.build_lines(words).select("line_no", "text")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("slice(") == 1
+    assert [tuple(r) for r in lines.collect()] == [(1, "a b")]
