@@ -229,3 +229,13 @@ def test_words_of_a_line_are_sorted_once(spark):
     lines = grid.build_lines(words).select("line_no", "text")
     assert lines._jdf.queryExecution().executedPlan().toString().count("slice(") == 1
     assert [tuple(r) for r in lines.collect()] == [(1, "a b")]
+
+
+def test_who_reads_labels_only_does_not_read_amounts(spark, monkeypatch):
+    _small(spark, monkeypatch)
+    out = catalog.QUERIES["j14_match_labels"](spark, "small")
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.label: r.n for r in out.collect()}
+    lines = grid.match_labels(grid.build_lines(fx.rendered_words(_invoices(spark), _items(spark))))
+    assert got == {r.label: r["count"] for r in lines.select(F.explode("hits.label").alias("label")).groupBy("label").count().collect()}
+    assert got["date"] == 6 and got["purchase order"] == 3 and got["invoice no"] == 3
